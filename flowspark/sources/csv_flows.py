@@ -38,18 +38,19 @@ def read_flow_csv(spark: SparkSession, paths: Sequence[str], bad_lines: str = "e
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
         by_header.setdefault(tuple(unique_names(header_of(spark, path))), []).append(path)
-    parts = [_read_same_header(spark, files, names, bad_lines) for names, files in by_header.items()]
+    parts = [_read_cells(spark, files, names, bad_lines, True) for names, files in by_header.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _read_same_header(spark: SparkSession, files: list[str], names: Sequence[str], bad_lines: str) -> DataFrame:
+def _read_cells(spark: SparkSession, files: list[str], names: Sequence[str], bad_lines: str,
+                has_header: bool) -> DataFrame:
     width = len(names)
     # Positional names keep case-only duplicates apart while Spark parses.
     slots = [f"_c{i}" for i in range(width)]
     schema = ", ".join(f"{s} string" for s in slots) + f", {CORRUPT} string"
     raw = (
         spark.read.schema(schema)
-        .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, encoding="UTF-8",
+        .options(header=has_header, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, encoding="UTF-8",
                  quote='"', escape='"', enforceSchema=True)
         .csv(files)
     )
@@ -73,13 +74,13 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in FILE_COLUMNS]
 
 
-def all_missing(df: DataFrame) -> Column:
-    """True for a row whose every data cell is missing."""
-    return reduce(lambda a, b: a & b, [F.col(q(c)).isNull() for c in data_columns(df)])
+def all_missing(columns: Sequence[str]) -> Column:
+    """True for a row whose every named cell is missing."""
+    return reduce(lambda a, b: a & b, [F.col(q(c)).isNull() for c in columns])
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
-    return df.where(~all_missing(df))
+    return df.where(~all_missing(data_columns(df)))
 
 
 def mismatched_copies(df: DataFrame) -> DataFrame:
@@ -113,3 +114,8 @@ def with_row_id(df: DataFrame, name: str = "RowID") -> DataFrame:
     inside = F.row_number().over(Window.partitionBy(*split).orderBy("_pos"))
     kept = [F.col(q(c)) for c in df.columns if c not in ("_path", "_start", "_pos")]
     return df.join(offsets, split).select((F.col("_offset") + inside - 1).alias(name), *kept)
+
+
+def read_headerless(spark: SparkSession, path: str, header: Sequence[str], bad_lines: str = "error") -> DataFrame:
+    """Like :func:`read_flow_csv` for files without a header line; `header` names their cells."""
+    return _read_cells(spark, [path], unique_names(header), bad_lines, has_header=False)
