@@ -340,7 +340,7 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: Sequenc
     order = df.sparkSession.createDataFrame([(i, l) for i, l in enumerate(labels)], "position int, actual string")
     wide = (
         df.groupBy(F.col(actual).cast("string").alias("actual"))
-        .pivot(predicted, list(labels)).agg(F.count("*"))
+        .pivot(predicted, list(labels)).agg(F.count(F.lit(1)))
     )
     cells = [str(l) for l in labels]
     dense = F.broadcast(order).join(wide, "actual", "left").na.fill(0, cells)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from flowspark.plans import catalog_clean  # noqa: F401
+from flowspark.plans import (  # noqa: F401
+    catalog_clean, catalog_correlate, catalog_metrics, catalog_sampling, catalog_soc,
+)
 from flowspark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
