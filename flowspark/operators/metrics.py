@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.numeric import ratio
-from flowspark.operators.prefix import exact_quantiles, running_totals
+from flowspark.operators.prefix import BLOCK_ROWS, exact_quantiles, running_totals
 from flowspark.session import lookup_join
 
 CELLS = ["true_negative", "false_positive", "false_negative", "true_positive"]
@@ -90,7 +90,7 @@ def score_counts(df: DataFrame, keys: Sequence[str] = (), label: str = "BinaryLa
 
 
 def cumulative_scores(df: DataFrame, keys: Sequence[str] = (), label: str = "BinaryLabel",
-                      score: str = "Score", block_rows: int = 2_000_000) -> DataFrame:
+                      score: str = "Score", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """True and false positives when everything at or above each distinct score is flagged."""
     counts = score_counts(df, keys, label, score).withColumn("_down", -F.col("score"))
     totals = running_totals(counts, keys, "_down", ["pos", "neg"], block_rows)
@@ -98,7 +98,7 @@ def cumulative_scores(df: DataFrame, keys: Sequence[str] = (), label: str = "Bin
 
 
 def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), label: str = "BinaryLabel",
-                    score: str = "Score", block_rows: int = 2_000_000) -> DataFrame:
+                    score: str = "Score", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """ROC AUC with half credit for ties and step-wise average precision; null for one class."""
     points = cumulative_scores(df, keys, label, score, block_rows)
     pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
@@ -112,7 +112,7 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), label: str = "Binar
 
 
 def curve_points(df: DataFrame, keys: Sequence[str] = (), label: str = "BinaryLabel",
-                 score: str = "Score", block_rows: int = 2_000_000) -> DataFrame:
+                 score: str = "Score", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """ROC and precision-recall coordinates at every distinct threshold."""
     points = cumulative_scores(df, keys, label, score, block_rows)
     by = list(keys) or ["_all"]
@@ -183,7 +183,7 @@ def rank_candidates(table: DataFrame, by: Sequence[str], name: str = "model") ->
 
 
 def quantile_threshold(df: DataFrame, max_fpr: float, keys: Sequence[str] = (), score: str = "Score",
-                       block_rows: int = 2_000_000) -> DataFrame:
+                       block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Score above which a share of `max_fpr` lies, and the share really flagged by it."""
     limits = exact_quantiles(df, score, [1.0 - max_fpr], keys, block_rows).select(
         *keys, F.col("quantile").alias("threshold"), "rows"

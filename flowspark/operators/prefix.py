@@ -7,27 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.session import lookup_join
+from flowspark.schema import q
+from flowspark.session import is_small_input, local_table, lookup_join
 
 BINS = 4096
+BLOCK_ROWS = 2_000_000
 
 
-def _binned(df: DataFrame, by: list[str], order: str, name: str, block_rows: int) -> DataFrame:
-    """Add `name`: an order-preserving bin, used only inside groups above `block_rows`."""
+def _busy_groups(df: DataFrame, by: list[str], order: str, block_rows: int) -> DataFrame | None:
+    """Value range of every group above `block_rows` rows; there are at most rows / block_rows."""
     busy = (
         df.groupBy(*by)
         .agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-        .where((F.col("_n") > block_rows) & (F.col("_hi") > F.col("_lo")))
-        .drop("_n")
+        .where((F.col("_n") > block_rows) & (F.col("_hi") > F.col("_lo"))).drop("_n")
     )
-    joined = lookup_join(df, busy, by, "left")
+    table, is_local = local_table(busy)
+    return None if is_local and table.isEmpty() else table
+
+
+def _binned(df: DataFrame, by: list[str], order: str, name: str, busy: DataFrame | None) -> DataFrame:
+    """Add `name`: an order-preserving bin inside busy groups, 0 elsewhere."""
+    if busy is None:
+        return df.withColumn(name, F.lit(0).cast("long"))
     position = F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS)
     inside = F.least(position, F.lit(BINS - 1))
+    joined = df.join(F.broadcast(busy), by, "left")
     return joined.withColumn(name, F.coalesce(inside, F.lit(0)).cast("long")).drop("_lo", "_hi")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
-                   block_rows: int = 2_000_000) -> DataFrame:
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add inclusive running sums ``cum_<name>`` along ascending `order` within `keys`.
 
     `order` is numeric and unique within `keys` (group by it first). Keys with at most
@@ -35,29 +44,26 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, sums: Sequenc
     values crowd together, and each bin starts from the summed totals of the bins before it.
     """
     base, by = (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
-    coarse = _binned(base, by, order, "_b1", block_rows)
-    blocked = _binned(coarse, by + ["_b1"], order, "_b2", block_rows)
+    kept = [F.col(q(c)) for c in df.columns]
+    busy = None if is_small_input(base) else _busy_groups(base, by, order, block_rows)
+    if busy is None:
+        whole = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return base.select(*kept, *[F.sum(c).over(whole).alias(f"cum_{c}") for c in sums])
+    coarse = _binned(base, by, order, "_b1", busy)
+    blocked = _binned(coarse, by + ["_b1"], order, "_b2", _busy_groups(coarse, by + ["_b1"], order, block_rows))
     block = by + ["_b1", "_b2"]
+    prior = Window.partitionBy(*by).orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        blocked.groupBy(*block)
-        .agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-        .select(*block, *[
-            F.coalesce(
-                F.sum(f"_t_{c}").over(
-                    Window.partitionBy(*by).orderBy("_b1", "_b2")
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ), F.lit(0)
-            ).alias(f"_start_{c}") for c in sums
-        ])
+        blocked.groupBy(*block).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+        .select(*block, *[F.coalesce(F.sum(f"_t_{c}").over(prior), F.lit(0)).alias(f"_start_{c}") for c in sums])
     )
     inside = Window.partitionBy(*block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     totals = [(F.sum(c).over(inside) + F.col(f"_start_{c}")).alias(f"cum_{c}") for c in sums]
-    kept = [F.col(f"`{c}`") for c in df.columns]
     return blocked.join(starts, block).select(*kept, *totals)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
-                    block_rows: int = 2_000_000) -> DataFrame:
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Linearly interpolated quantiles per key: columns keys, ``prob``, ``quantile``, ``rows``.
 
     Equal values collapse first, so the shuffle carries distinct values only; the ranks on

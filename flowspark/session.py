@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 # Rows a driver-side lookup may hold before an operator falls back to a shuffle join.
 SMALL_TABLE_ROWS = 50_000
 
+# Inputs Spark estimates below this size skip the extra pass that looks for heavy keys.
+SMALL_INPUT_SETTING = "spark.flowspark.smallInputBytes"
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+
 
 def build_session(app: str = "flowspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on."""
@@ -55,6 +59,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_small_input(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate makes measures against skew pointless."""
+    limit = int(df.sparkSession.conf.get(SMALL_INPUT_SETTING, str(SMALL_INPUT_BYTES)))
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) < limit
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give work that runs in Python enough tasks when the table has fewer files than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and is_small_input(df) else df
+
+
 def local_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> tuple[DataFrame, bool]:
     """Pull an aggregated table through the driver only if it has at most `limit` rows.
 
@@ -69,7 +86,12 @@ def local_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> tuple[DataFrame
 
 def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner",
                 limit: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Join to an aggregated table: broadcast if its checked size is small, else shuffle."""
+    """Join to an aggregated table: broadcast if its checked size is small, else shuffle.
+
+    For a small `df` the check would cost more than it saves; the join strategy is then Spark's.
+    """
+    if is_small_input(df):
+        return df.join(table, on, how)
     small, is_local = local_table(table, limit)
     if not is_local:
         return df.join(small, on, how)
@@ -84,6 +106,8 @@ def skew_safe_lookup(df: DataFrame, table: DataFrame, key: str, weight: str,
     rows / hot_rows many, so they are broadcast; their rows then carry a random, unmatched key
     through the shuffle join that serves all other keys.
     """
+    if is_small_input(df):
+        return df.join(table.drop(weight), key, "left")
     values = [c for c in table.columns if c not in (key, weight)]
     hot, is_local = local_table(table.where(F.col(weight) > hot_rows))
     if not is_local or hot.isEmpty():
