@@ -172,9 +172,9 @@ def _by_block(flows: DataFrame, rule: ScanRule) -> DataFrame:
     placed = flows.withColumn("_at", F.unix_micros("Timestamp")).withColumn(
         "_block", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home)))
     )
-    block = [*KEY, "_block"]
-    # Fix the partitioning here: all three windows below then run without another exchange.
-    placed = placed.repartition(*block)
+    # One column places the rows, so that all windows below run without another exchange.
+    placed = placed.withColumn("_place", F.xxhash64(*KEY, "_block")).repartition("_place")
+    block = ["_place", *KEY, "_block"]
 
     def spans(*what: str) -> tuple[Column, Column]:
         order = Window.partitionBy(*block, *what).orderBy("_at", "RowID")
