@@ -60,7 +60,8 @@ class ScanRule:
 def prepare_flows(df: DataFrame, input_file: Column, default_scenario: Column, check: bool = True) -> DataFrame:
     """Typed view of a flow table for correlation, whatever names its columns carry.
 
-    With `check` the rows are validated first; unreadable times or ports raise with counts.
+    With `check` the rows are validated first; unreadable times or ports raise with counts. Without
+    a row-id column rows are numbered as read: increasing, but with gaps (see ``with_row_id``).
     """
     names = df.columns
 
