@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.labels import class_name
@@ -22,7 +22,7 @@ from flowspark.operators import metrics
 from flowspark.operators.prefix import exact_quantiles
 from flowspark.operators.sampling import class_weights
 from flowspark.schema import OPERATIONAL_FAMILIES, q
-from flowspark.session import lookup_join, materialize, spread
+from flowspark.session import lookup_join, materialize, scratch_path, spread
 
 SEED = 42
 VECTOR, WEIGHT, TARGET = "_vector", "_weight", "_target"
@@ -94,6 +94,11 @@ def with_class_weights(df: DataFrame, label: str) -> DataFrame:
     return lookup_join(df, weights, [label])
 
 
+def _positional(df: DataFrame, features: Sequence[str], *others: Column) -> DataFrame:
+    """Features as ``_x0``, ``_x1`` …: some stages cannot handle the dots and spaces of real names."""
+    return df.select(*others, *[F.col(q(f)).alias(f"_x{i}") for i, f in enumerate(features)])
+
+
 # -------------------------------------------------------------------------- candidates
 
 
@@ -151,7 +156,7 @@ class Detector:
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         """Add ``_probabilities``, an array in class order."""
-        out = self.pipeline.transform(df)
+        out = self.pipeline.transform(_positional(df, self.features, F.struct("*").alias("_row")))
         if "probability" in out.columns:
             values = vector_to_array("probability")
         elif "rawPrediction" in out.columns:
@@ -160,7 +165,7 @@ class Detector:
             values = F.transform(powers, lambda p: p / total)
         else:
             values = F.col("_prior")
-        return out.select(*[F.col(q(c)) for c in df.columns], values.alias("_probabilities"))
+        return out.select("_row.*", values.alias("_probabilities"))
 
     def attack_probability(self, df: DataFrame, name: str = "KnownAttackProbability") -> DataFrame:
         """Add the probability of class 1; 0 for a model that never saw it."""
@@ -185,6 +190,15 @@ def _prior_stage(train: DataFrame, classes: int) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, array({values}) AS _prior FROM __THIS__")
 
 
+def _without_summary(spark: SparkSession, model):
+    """The model alone. A training summary drags its session into every task that applies it."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = scratch_path(spark, "model")
+    model.save(path)
+    return type(model).load(path)
+
+
 def fit_detector(train: DataFrame, candidate: Candidate, features: Sequence[str], label: str,
                  classes: Sequence[str] = ("BENIGN", "ATTACK")) -> Detector:
     """Fit imputation, scaling and the classifier on the training rows only.
@@ -198,15 +212,17 @@ def fit_detector(train: DataFrame, candidate: Candidate, features: Sequence[str]
         target = F.col(label).cast("double")
     # A tenth of the rows, chosen by content, watches boosting for early stopping.
     held = F.pmod(F.xxhash64(*[F.col(q(f)) for f in features]), F.lit(10)) == 0
-    rows = spread(train.select(*[F.col(q(f)) for f in features], target.alias(TARGET), held.alias("_held"))).persist()
+    rows = spread(_positional(train, features, target.alias(TARGET), held.alias("_held"))).persist()
+    slots = [f"_x{i}" for i in range(len(features))]
     try:
         if candidate.kind == "prior":
             stages: list[Transformer] = [_prior_stage(rows, len(classes))]
         else:
-            medians = feature_medians(rows, features)
+            medians = feature_medians(rows, slots)
             stages = preparation_stages(medians, feature_moments(rows, medians) if candidate.scaled else None)
             ready = reduce(lambda df, stage: stage.transform(df), stages, with_class_weights(rows, TARGET))
-            stages = stages + [candidate.estimator(len(classes)).fit(ready.select(VECTOR, TARGET, WEIGHT, "_held"))]
+            model = candidate.estimator(len(classes)).fit(ready.select(VECTOR, TARGET, WEIGHT, "_held"))
+            stages = stages + [_without_summary(train.sparkSession, model)]
     finally:
         rows.unpersist()
     return Detector(candidate.name, PipelineModel(stages), list(features), list(classes),
