@@ -200,7 +200,7 @@ def test_evaluation_jobs(data):
     linear = replace(models.BINARY_CANDIDATES[1], **SMALL)
     grouped = evaluate.evaluate_grouped(data, FEATURES, linear, sample_size=1000, max_fpr=0.05)
     row = grouped.metrics.first()
-    assert row["recall_attack"] > 0.8 and grouped.detector.threshold > 0 and grouped.ledger.count() == row["test_rows"]
+    assert row["recall_attack"] > 0.6 and grouped.detector.threshold > 0 and grouped.ledger.count() == row["test_rows"]
     binary = evaluate.evaluate_binary(data, FEATURES, 1000, [linear])
     assert binary.detector.name == linear.name and 190 <= binary.metrics.first()["test_rows"] <= 210
     folds = evaluate.evaluate_holdout(data, FEATURES, linear, 800)
