@@ -150,18 +150,20 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float], label: str = "Bi
         .groupBy("_cell")
         .agg(F.count_if(F.col("_y") == 1).alias("_pos"), F.count_if(F.col("_y") != 1).alias("_neg"))
     )
-    grid = df.sparkSession.createDataFrame([(float(i), t) for i, t in enumerate(steps, 1)], "_cut double, threshold double")
-    at_or_above = F.col("_cell") >= F.col("_cut")
-    confusion = (
-        grid.join(cells, at_or_above | (F.col("_cell") < F.col("_cut")))
-        .groupBy("threshold")
-        .agg(
-            F.sum(F.when(~at_or_above, F.col("_neg")).otherwise(0)).alias("true_negative"),
-            F.sum(F.when(at_or_above, F.col("_neg")).otherwise(0)).alias("false_positive"),
-            F.sum(F.when(~at_or_above, F.col("_pos")).otherwise(0)).alias("false_negative"),
-            F.sum(F.when(at_or_above, F.col("_pos")).otherwise(0)).alias("true_positive"),
-        )
+    grid = df.sparkSession.createDataFrame(
+        [(float(i), t) for i, t in enumerate([float("-inf"), *steps])], "_cell double, threshold double"
     )
+    filled = grid.join(cells, "_cell", "left").na.fill(0, ["_pos", "_neg"])
+    # At most len(thresholds) + 1 rows: an ordering of them all is no burden for one task.
+    above = Window.partitionBy(F.lit(0)).orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    confusion = filled.select(
+        "threshold",
+        F.coalesce(F.sum("_neg").over(below), F.lit(0)).alias("true_negative"),
+        F.sum("_neg").over(above).alias("false_positive"),
+        F.coalesce(F.sum("_pos").over(below), F.lit(0)).alias("false_negative"),
+        F.sum("_pos").over(above).alias("true_positive"),
+    ).where(F.col("threshold") > float("-inf"))
     return binary_metrics(confusion)
 
 

@@ -22,7 +22,7 @@ from flowspark.operators import metrics
 from flowspark.operators.prefix import exact_quantiles
 from flowspark.operators.sampling import class_weights
 from flowspark.schema import OPERATIONAL_FAMILIES, q
-from flowspark.session import lookup_join, materialize, scratch_path, spread
+from flowspark.session import beside, lookup_join, materialize, scratch_path, spread
 
 SEED = 42
 VECTOR, WEIGHT, TARGET = "_vector", "_weight", "_target"
@@ -259,7 +259,7 @@ def binary_report(scored: DataFrame, threshold: float, undefined: str = "zero")
     """Threshold metrics and ranking metrics of one scored table: one row."""
     cells = metrics.binary_confusion(scored, score="AttackProbability", threshold=threshold)
     ranked = metrics.ranking_metrics(scored, score="AttackProbability")
-    return metrics.binary_metrics(cells, undefined).join(F.broadcast(ranked), F.lit(True))
+    return beside(metrics.binary_metrics(cells, undefined), ranked)
 
 
 def family_report(scored: DataFrame, actual: str = "OperationalFamily", predicted: str = "PredictedOperationalFamily"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.schema import q
@@ -76,22 +76,22 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
         .agg(F.count("*").alias("_n"))
     )
     ranked = running_totals(counted, by, "_v", ["_n"], block_rows)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (
-        counted.groupBy(*by).agg(F.sum("_n").alias("rows"))
-        .select(*by, "rows", F.explode(wanted).alias("prob"))
-        .withColumn("_pos", (F.col("rows") - 1) * F.col("prob"))
+    rows = counted.groupBy(*by).agg(F.sum("_n").alias("rows"))
+    targets = F.transform(
+        F.array(*[F.lit(float(p)) for p in probs]),
+        lambda p: F.struct(p.alias("prob"), ((F.col("rows") - 1) * p).alias("pos")),
     )
-    hit_low = (F.col("cum__n") > F.floor("_pos")) & (F.col("cum__n") - F.col("_n") <= F.floor("_pos"))
-    hit_high = (F.col("cum__n") > F.ceil("_pos")) & (F.col("cum__n") - F.col("_n") <= F.ceil("_pos"))
+    end, start = F.col("cum__n"), F.col("cum__n") - F.col("_n")
+
+    def holds(rank: Column) -> Column:
+        return (start <= rank) & (rank < end)
+
+    met = F.filter(targets, lambda t: holds(F.floor(t["pos"])) | holds(F.ceil(t["pos"])))
     found = (
-        lookup_join(ranked, targets, by)
-        .where(hit_low | hit_high)
-        .groupBy(*by, "prob", "rows", "_pos")
-        .agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        lookup_join(ranked, rows, by).select(*by, "rows", "_v", F.explode(met).alias("_t"))
+        .groupBy(*by, "rows", "_t").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     )
-    share = F.col("_pos") - F.floor("_pos")
+    share = F.col("_t.pos") - F.floor("_t.pos")
     return found.select(
-        *list(keys), "prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("quantile"),
-        "rows",
+        *list(keys), "_t.prob", (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("quantile"), "rows",
     )

@@ -14,6 +14,7 @@ from flowspark.functions.times import parse_mixed_timestamp
 from flowspark.schema import (
     ALIGNMENT_COLUMNS, INFINITY_TOKENS, clean_header, find_label_column, q, repeated_names, resolve_alias,
 )
+from flowspark.session import beside
 
 MISSING_FEATURES_SHOWN = 15
 
@@ -123,7 +124,7 @@ def preprocessing_summary(quality: DataFrame, pairs: DataFrame) -> DataFrame:
         F.coalesce(F.bool_and(F.col("row_counts_match") & F.col("fingerprints_match")), F.lit(False))
         .alias("all_pairs_match")
     )
-    return totals.join(F.broadcast(matched), F.lit(True))
+    return beside(totals, matched)
 
 
 # --------------------------------------------------------------------------- collection pairs

@@ -9,6 +9,7 @@ from flowspark.operators.prefix import exact_quantiles
 from flowspark.plans.registry import query, r, rounded
 from flowspark.plans.workload import flows, table, with_flows
 from flowspark.schema import OPERATIONAL_FAMILIES
+from flowspark.session import beside
 
 METRICS = [
     "accuracy", "balanced_accuracy", "precision_attack", "recall_attack", "f1_attack", "f2_attack", "specificity",
@@ -312,7 +313,7 @@ UNION ALL SELECT 'anomaly', accuracy, recall_attack, f2_attack, false_positive_r
   (SELECT {metric_sql()} FROM (SELECT {cells_sql('"AnomalyScore"', '0.9')} FROM flows))"""))
 def evaluation_designs(spark, sf):
     f = flows(spark, sf)
-    grouped = metrics.binary_metrics(metrics.binary_confusion(f)).join(F.broadcast(metrics.ranking_metrics(f)), F.lit(True))
+    grouped = beside(metrics.binary_metrics(metrics.binary_confusion(f)), metrics.ranking_metrics(f))
     anomaly = metrics.binary_metrics(metrics.binary_confusion(f, score="AnomalyScore", threshold=0.9))
     columns = ["accuracy", "recall_attack", "f2_attack", "false_positive_rate", "roc_auc"]
     found = metrics.compare_designs({"grouped": grouped, "scenario": None, "anomaly": anomaly}, columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowspark.operators import correlate, extractor
 from flowspark.operators.correlate import ScanRule
+from flowspark.session import beside
 from flowspark.sources import csv_flows, tables
 
 
@@ -31,5 +32,5 @@ def prepare_capture(spark: SparkSession, path: str, scenario: str, ground_truth:
     written = tables.file_digests(spark, [f"{target}/*.csv"]).agg(
         F.sort_array(F.collect_list(F.struct("path", "sha256"))).alias("outputs"))
     quality = extractor.mapping_quality(raw)
-    return quality.join(F.broadcast(digests), F.lit(True)).join(F.broadcast(written), F.lit(True)).select(
+    return beside(quality, digests, written).select(
         F.lit(scenario).alias("scenario"), F.lit(ground_truth).alias("ground_truth"), "*")

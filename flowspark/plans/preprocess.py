@@ -90,20 +90,19 @@ def audit(spark: SparkSession, collections: dict[str, Sequence[str]]) -> dict[st
     """
     inventories, labels, presence, profiles = [], [], [], {}
     for name, paths in collections.items():
-        for path in paths:
-            header = csv_flows.header_of(spark, path)
-            lines = csv_flows.read_flow_csv(spark, [path], bad_lines="skip")
+        for header, files in csv_flows.by_header(spark, paths).items():
+            lines = csv_flows.read_flow_csv(spark, files, bad_lines="skip", same_header=True)
             columns = csv_flows.data_columns(lines)
             label = find_label_column(columns)
-            file = lines.withColumn("scenario_key", scenario_key(F.col("_file")))
+            rows = lines.withColumn("scenario_key", scenario_key(F.col("_file")))
             inventories.append(
-                profile.profile_files(file, columns, header, ["_file", "scenario_key"])
+                profile.profile_files(rows, columns, header, ["_file", "scenario_key"])
                 .select(F.lit(name).alias("collection"), "*").withColumnRenamed("_file", "file")
             )
-            valid = file.where(~csv_flows.all_missing(columns)).withColumn("label", normalize_label(F.col(q(label))))
+            valid = rows.where(~csv_flows.all_missing(columns)).withColumn("label", normalize_label(F.col(q(label))))
             labels.append(profile.label_counts(valid, ["_file"], "label").select(
                 F.lit(name).alias("collection"), F.col("_file").alias("file"), "label", "count", "percentage"))
-            presence += [(name, path, c) for c in columns]
+            presence += [(name, path, c) for path in files for c in columns]
             profiles.setdefault(name, []).append(profile.label_profile(valid, "scenario_key", "label", columns))
 
     def union(parts: list[DataFrame]) -> DataFrame:

@@ -11,7 +11,7 @@ from flowspark.operators import models, profile, scoring, soc
 from flowspark.operators.iforest import IsolationForest
 from flowspark.operators.models import Detector
 from flowspark.schema import SEVERITIES
-from flowspark.session import spread
+from flowspark.session import beside, spread
 from flowspark.sources import csv_flows
 from flowspark.sources.lookups import read_technique_map
 from flowspark.techniques import default_techniques
@@ -81,7 +81,7 @@ def analyze(df: DataFrame, bundle: Bundle) -> DataFrame:
 def quality_report(df: DataFrame, ledger: DataFrame, bundle: Bundle) -> DataFrame:
     """Input quality, models, thresholds and alert totals: one row."""
     counts = soc.run_summary(ledger).drop("rows")
-    return profile.input_quality(df, bundle.features).join(F.broadcast(counts), F.lit(True)).select(
+    return beside(profile.input_quality(df, bundle.features), counts).select(
         "*", F.lit(bundle.binary.name).alias("binary_model"), F.lit(bundle.binary.threshold).alias("binary_threshold"),
         F.lit(bundle.family.name).alias("family_model"), F.lit(bundle.anomaly.threshold).alias("anomaly_threshold"),
     )

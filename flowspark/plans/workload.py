@@ -34,19 +34,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _pick(values: list[str | None], index) -> F.Column:
+def _pick(values: list[str | None], index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def _raw_label():
+    """Dirty label by rule: the first scenario is all benign, the last all attack."""
+    mixed, n = F.col("event_id") * 7 + F.col("user_id"), len(RAW_LABELS)
+    return _pick(RAW_LABELS, (
+        F.when(F.col("event_id") % 8 == 0, F.lit(0))
+        .when(F.col("event_id") % 8 == 7, BENIGN_LABELS + mixed % (n - BENIGN_LABELS)).otherwise(mixed % n)
+    ))
+
+
 def raw_flows(spark: SparkSession, sf: str) -> DataFrame:
     """Text cells as they stand in a capture CSV, plus the row key."""
     e = table(spark, sf, "events")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    mixed, n = F.col("event_id") * 7 + F.col("user_id"), len(RAW_LABELS)
-    index = (
-        F.when(F.col("event_id") % 8 == 0, F.lit(0))
-        .when(F.col("event_id") % 8 == 7, BENIGN_LABELS + mixed % (n - BENIGN_LABELS)).otherwise(mixed % n)
-    )
     e11, e13 = F.col("event_id") % 11, F.col("event_id") % 13
     cells = {
         "Destination Port": k.cast("string"),
@@ -56,7 +60,7 @@ def raw_flows(spark: SparkSession, sf: str) -> DataFrame:
         "Total Backward Packets": (k % 5).cast("string"),
         "Fwd Header Length": (k * 20).cast("string"),
         "Fwd Header Length.1": (k * 20).cast("string"),
-        "Label": _pick(RAW_LABELS, index),
+        "Label": _raw_label(),
     }
     kept = F.col("event_id") % 97 != 0
     return e.select(
@@ -94,11 +98,6 @@ def flows(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned flows with labels, context, detector scores and session groups."""
     e = table(spark, sf, "events")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    mixed, n = F.col("event_id") * 7 + F.col("user_id"), len(RAW_LABELS)
-    index = (
-        F.when(F.col("event_id") % 8 == 0, F.lit(0))
-        .when(F.col("event_id") % 8 == 7, BENIGN_LABELS + mixed % (n - BENIGN_LABELS)).otherwise(mixed % n)
-    )
     base = e.select(
         F.col("event_id").alias("RowID"),
         F.concat(F.lit("s"), (F.col("event_id") % 8).cast("string")).alias("Scenario"),
@@ -110,7 +109,7 @@ def flows(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("event_type") == "error").cast("int").alias("RSTCount"),
         F.when(F.col("value") < 10, 0.0).otherwise(F.col("value")).alias("BackwardPackets"),
         F.when(F.col("event_id") % 5 == 0, F.lit(None)).otherwise(6.0 + F.col("event_id") % 2 * 11).alias("Protocol"),
-        _pick(RAW_LABELS, index).alias("LabelRaw"),
+        _raw_label().alias("LabelRaw"),
         F.col("value").alias("_value"), F.col("user_id").alias("_user"),
     ).withColumn("Label", normalize_label(F.col("LabelRaw")))
     share = F.col("_value") / (F.col("_value") + 50)

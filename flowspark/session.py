@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores and is_small_input(df) else df
 
 
+def beside(*tables: DataFrame) -> DataFrame:
+    """Put one-row tables with different columns side by side, without a join."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return rows.agg(*[F.max(f"`{c}`").alias(c) for c in rows.columns])
+
+
 def local_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> tuple[DataFrame, bool]:
     """Pull an aggregated table through the driver only if it has at most `limit` rows.
 

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.schema import MISSING_TOKENS, duplicate_pairs, parse_header, q, unique_names
+from flowspark.session import lookup_join
 
 CORRUPT = "_corrupt"
-FILE_COLUMNS = ["_file", "_path", "_start", "_pos"]
+FILE_COLUMNS = ["_file", "_path", "_start"]
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
@@ -26,19 +27,28 @@ def _surplus(raw: Column, width: int) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1 > width
 
 
-def read_flow_csv(spark: SparkSession, paths: Sequence[str], bad_lines: str = "error") -> DataFrame:
+def by_header(spark: SparkSession, paths: Sequence[str], same_header: bool = False) -> dict[tuple[str, ...], list[str]]:
+    """Files grouped by their clean header; with `same_header` only the first file is looked at."""
+    if same_header:
+        return {tuple(header_of(spark, paths[0])): list(paths)}
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        groups.setdefault(tuple(header_of(spark, path)), []).append(path)
+    return groups
+
+
+def read_flow_csv(spark: SparkSession, paths: Sequence[str], bad_lines: str = "error", same_header: bool = False
+                  ) -> DataFrame:
     """Read flow CSV files as text columns, with ``SourceFile`` and hidden position columns.
 
     Headers may differ between files; columns are matched by cleaned name. Short lines are
     padded with nulls. Lines with surplus cells raise (``bad_lines="error"``) or are left out
-    (``"skip"``). Missing-value text becomes null.
+    (``"skip"``). Missing-value text becomes null. `same_header` spares a look at every file.
     """
     if bad_lines not in ("error", "skip"):
         raise ValueError("bad_lines is 'error' or 'skip'")
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        by_header.setdefault(tuple(unique_names(header_of(spark, path))), []).append(path)
-    parts = [_read_cells(spark, files, names, bad_lines, True) for names, files in by_header.items()]
+    groups = by_header(spark, paths, same_header)
+    parts = [_read_cells(spark, files, unique_names(header), bad_lines, True) for header, files in groups.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -65,7 +75,7 @@ def _read_cells(spark: SparkSession, files: list[str], names: Sequence[str], bad
     meta = F.col("_metadata")
     return raw.select(
         meta["file_name"].alias("_file"), meta["file_path"].alias("_path"),
-        meta["file_block_start"].alias("_start"), F.monotonically_increasing_id().alias("_pos"),
+        meta["file_block_start"].alias("_start"),
         *cells,
     )
 
@@ -102,18 +112,24 @@ def drop_duplicate_columns(df: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "RowID") -> DataFrame:
-    """Number the rows of every file 0, 1, 2 … in file order, without one task per file.
+    """Number the rows of every file 0, 1, 2 … in file order, without moving the rows.
 
-    Rows are numbered inside each input split and offset by the rows of the splits before it.
+    `df` comes from a reader of this module, possibly filtered or projected, but not shuffled. A
+    task reads a split front to back, so a row's place in its split is its running id less the
+    smallest one of the split; the rows of the splits before it are added from a small table.
     """
     split = ["_path", "_start"]
+    placed = df.withColumn("_pos", F.monotonically_increasing_id())
     prior = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(*split).agg(F.count("*").alias("_n")).select(
-        *split, F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_offset")
+    splits = placed.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_pos").alias("_first")).select(
+        *split, "_n", "_first", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_offset")
+    )
+    place = F.col("_pos") - F.col("_first")
+    number = F.when((place >= 0) & (place < F.col("_n")), F.col("_offset") + place).otherwise(
+        F.raise_error(F.lit("rows moved between reading and numbering")).cast("long")
     )
-    inside = F.row_number().over(Window.partitionBy(*split).orderBy("_pos"))
-    kept = [F.col(q(c)) for c in df.columns if c not in ("_path", "_start", "_pos")]
-    return df.join(offsets, split).select((F.col("_offset") + inside - 1).alias(name), *kept)
+    kept = [F.col(q(c)) for c in df.columns if c not in split]
+    return lookup_join(placed, splits, split, limit=200_000).select(number.alias(name), *kept)
 
 
 def read_headerless(spark: SparkSession, path: str, header: Sequence[str], bad_lines: str = "error") -> DataFrame:
