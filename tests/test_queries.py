@@ -17,7 +17,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(TABLES), reason="test tables
 def test_registry():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 90
-    assert all(re.fullmatch("[a-z][a-z_]*", name) for name in queries)
+    assert all(re.fullmatch("[a-z][a-z0-9_]*", name) for name in queries)
 
 
 @needs_tables
