@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import bpe, decontaminate, language, quality, sharding, toxicity, urls
+from flowspark.llm import bpe, decontaminate, language, line_dedup, quality, sharding, toxicity, urls
 from flowspark.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,42 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_removed", "n_spans",
+        F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL["op3_line_dedup"] = r"""
+WITH pieces AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
+    FROM documents),
+counted AS (SELECT *, len(regexp_extract_all(line, '[^\x09-\x0D\x20]+')) AS words FROM pieces),
+filled AS (
+    SELECT doc_id, n, line, words, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS pos,
+           lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS following
+    FROM counted WHERE words > 0),
+copies AS (
+    SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AND words >= 20 AS later_line,
+           following IS NOT NULL AND row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) > 1 AS later_run
+    FROM filled),
+gone AS (
+    SELECT doc_id, n, pos, later_line OR later_run OR coalesce(lag(later_run) OVER (PARTITION BY doc_id ORDER BY pos), false) AS cut
+    FROM copies),
+runs AS (
+    SELECT doc_id, n, cut, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM gone),
+kept AS (
+    SELECT c.doc_id, count(*) AS n_lines, count(*) FILTER (r.cut) AS n_removed, count(*) FILTER (r.begins) AS n_spans,
+           string_agg(c.line, chr(10) ORDER BY c.n) FILTER (NOT coalesce(r.cut, false)) AS kept_text
+    FROM counted c LEFT JOIN runs r ON c.doc_id = r.doc_id AND c.n = r.n GROUP BY c.doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+       sha256(coalesce(k.kept_text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 @query
 def op5_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -6,7 +6,7 @@ import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-BYTE_CODES = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+BYTE_CODES, OTHER_CODES = np.random.default_rng(20240517).integers(1, 1 << 63, (2, 256), dtype=np.int64).astype(np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -73,11 +73,11 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, rows
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of every span, from one prefix sum."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
+    """A 64-bit hash of the bytes of every span, from one prefix sum; other codes give an independent one."""
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(codes[data] * power[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
