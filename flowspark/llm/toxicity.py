@@ -34,8 +34,8 @@ STRIDE = 8
 SHAPES = [c for n in (2, 3) for c in combinations(range(1, SPAN), n)]
 SHAPE_WEIGHTS = np.array([DECAY ** (c[-1] - len(c)) for c in SHAPES], np.float32)
 MULTIPLIERS = [np.uint32(m) for m in (0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)]
-LANDMARKS = 600
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1000, 1500, 20_000
+LANDMARKS = 400
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 800, 1200, 20_000
 ROUNDS = 4
 COPIES = 3
 SOFTNESS = 10.0
@@ -245,16 +245,16 @@ def fit_texts(texts: list[str], toxic: np.ndarray, base_rate: float, landmarks:
 def fit(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN,
         fit_chars: int = FIT_CHARS) -> Model | None:
     """Learn from the documents with a toxic label: at most about `fit_toxic` toxic and `fit_clean` other ones of up to
-    `fit_chars` characters, chosen by a hash of the text. Without both kinds there is no model (None)."""
+    `fit_chars` characters, chosen by a hash of the id. Without both kinds there is no model (None)."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, fit_chars)).join(known, "doc_id")
-    counts = {bool(r["bad"]): r["n"] for r in texts.groupBy((F.col("toxic") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
+    counts = {bool(r["bad"]): r["n"] for r in known.groupBy((F.col("toxic") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     limits = [int(min(1, most / counts[bad]) * (1 << 30)) + 1 for bad, most in ((True, fit_toxic), (False, fit_clean))]
-    sample = texts.where(place < F.when(F.col("toxic") > 0, limits[0]).otherwise(limits[1])).select(
-        place.alias("place"), "text", (F.col("toxic") > 0).alias("bad")).collect()
+    chosen = known.where(place < F.when(F.col("toxic") > 0, limits[0]).otherwise(limits[1]))  # about fit_toxic + fit_clean ids
+    texts = docs.select("doc_id", "text").where(F.length("text").between(1, fit_chars)).join(F.broadcast(chosen), "doc_id")
+    sample = texts.select(F.xxhash64("text").alias("place"), "text", (F.col("toxic") > 0).alias("bad")).collect()
     sample.sort(key=lambda r: (r["place"], r["text"]))
     return fit_texts([r["text"] for r in sample], np.array([r["bad"] for r in sample]), counts[True] / sum(counts.values()))
 
