@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import bpe, decontaminate, language, line_dedup, quality, sharding, toxicity, urls
+from flowspark.llm import bpe, decontaminate, language, line_dedup, near_dup, quality, sharding, toxicity, urls
 from flowspark.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +108,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.ids_digest().alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
 
 
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_components(docs, similarity=0.85).drop("row_key")
+
+
 @query
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents")).drop("curve")
