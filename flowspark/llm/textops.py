@@ -22,7 +22,7 @@ ALPHANUMERIC[0x30:0x3A] = ALPHANUMERIC[0x61:0x7B] = ALPHANUMERIC[0x80:] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
         for k, base in enumerate((BASE, BASE_INVERSE)):
@@ -75,7 +75,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
     """A 64-bit hash of the bytes of every span, from one prefix sum; other codes give an independent one."""
-    power, inverse = _power_tables(len(data) + 1)
+    power, inverse = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(codes[data] * power[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
