@@ -31,7 +31,7 @@ from flowspark.session import materialize
 
 SHINGLE = 5
 TREES, DEPTH, MIN_DEPTH = 16, 8, 3
-NEIGHBOURS = 4
+NEIGHBOURS = 2
 MARGIN = 0.18  # of estimated below wanted similarity, over 5 standard errors of 128 values
 BUCKETS = 1 << 20
 BLOCK_SHINGLES = 1_000_000  # of the rows of a region that one task compares with as many
