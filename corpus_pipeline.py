@@ -61,8 +61,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_sha256 and decoded_sha256 (of the bytes that the ids stand for) of each text; a null
     text has no ids."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(coded, path).select(
+    coded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded=True)
+    return coded.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -23,7 +23,8 @@ from flowspark.llm.textops import ranges
 NONE = np.int32(2**31 - 1)
 LONG = 256
 WIDTHS = (4, 6, 8, 12, 16, 24, 32, 64, 128, LONG)
-CACHED_PIECES = 200_000
+CACHED_PIECES = 100_000
+SLICE_BYTES = 1 << 20  # texts become many small strings here
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -184,40 +185,53 @@ class Encoder:
         return ids, np.r_[0, ends]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Add `ids`, the BPE ids of each whole text, each match of `pattern` merged by itself, without special tokens.
+class Decoder:
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of each list of ids."""
+        sizes = self.sizes[ids]
+        ends = np.r_[0, np.cumsum(sizes)][offsets].astype(np.int32)
+        data = self.pool[ranges(self.starts[ids], sizes)]
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+DECODED = T.StructField("decoded", T.BinaryType())
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """Add `ids`, the BPE ids of each whole text, each match of `pattern` merged by itself, without special tokens; with
+    `decoded` also the bytes that these ids decode to, in the same pass.
 
-    Needs text; all rows and other columns are kept, a column `ids` is replaced. A null or empty text has no ids.
+    Needs text; all rows and other columns are kept, columns of these names replaced. A null or empty text has no ids.
     The table of ranks (path readable on the driver) has a fixed size and is broadcast.
     """
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    state: list[Encoder] = []
+    state: list = []
 
     def compute(batch):
         if not state:
-            state.append(Encoder(tokens.value, pattern))
+            state.extend([Encoder(tokens.value, pattern), Decoder(tokens.value)])
         ids, offsets = state[0].encode(text_of(batch).to_pylist())
-        return [as_list(ids, offsets)]
+        return [as_list(ids, offsets), *([state[1].decode(ids, offsets)] if decoded else [])]
 
-    return with_columns(docs, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))]), compute)
+    return with_columns(docs, T.StructType([IDS, DECODED] if decoded else [IDS]), compute, limit=SLICE_BYTES)
 
 
 def decode(rows: DataFrame, ranks_path: str) -> DataFrame:
     """Add `decoded`, the bytes that the column `ids` stands for (null and empty lists: no bytes)."""
     tokens = rows.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    state: list[np.ndarray] = []
+    state: list[Decoder] = []
 
     def compute(batch):
         if not state:
-            sizes = np.array([len(t) for t in tokens.value], np.int64)
-            state.extend([np.frombuffer(b"".join(tokens.value), np.uint8), np.cumsum(sizes) - sizes, sizes])
-        pool, starts, sizes = state
+            state.append(Decoder(tokens.value))
         lists = batch.column(batch.schema.get_field_index("ids"))
         counts = lists.value_lengths().fill_null(0).to_numpy(False)
-        ids = lists.flatten().to_numpy(False)
-        data = pool[ranges(starts[ids], sizes[ids])]
-        ends = np.r_[0, np.cumsum(sizes[ids])][np.cumsum(counts)]
-        offsets = np.r_[0, ends].astype(np.int32)
-        return [pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])]
+        return [state[0].decode(lists.flatten().to_numpy(False), np.r_[0, np.cumsum(counts)])]
 
-    return with_columns(rows, T.StructType([T.StructField("decoded", T.BinaryType())]), compute, column="ids")
+    return with_columns(rows, T.StructType([DECODED]), compute, column="ids")

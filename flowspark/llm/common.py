@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 def with_columns(df: DataFrame, fields: StructType, compute: Callable[[pa.RecordBatch], list[pa.Array]],
-                 column: str = "text") -> DataFrame:
+                 column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Add columns that `compute` derives from a slice of rows; columns of the same name are replaced."""
     names = {f.name.lower() for f in fields}
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
@@ -52,7 +52,7 @@ def with_columns(df: DataFrame, fields: StructType, compute: Callable[[pa.Record
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield pa.RecordBatch.from_arrays([*part.columns, *compute(part)], names=schema.names)
 
     return kept.mapInArrow(run, schema)

@@ -29,6 +29,13 @@ def test_bpe_long_pieces_by_matrix_and_heap():
         assert encoder.merge_matrix([raw], 256)[0].tolist() == encoder.merge_long(raw).tolist()
 
 
+def test_decoding_gives_the_bytes_back(spark):
+    coded = bpe.encode(frame(spark, EDGES), PATH, public_tokenizers.PATTERN)
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in bpe.decode(coded, PATH).collect())
+    none = bpe.decode(spark.createDataFrame([(1, None), (2, [])], "n int, ids array<int>"), PATH)
+    assert {bytes(r.decoded) for r in none.collect()} == {b""}
+
+
 def test_bpe_on_no_rows_and_clashing_columns(spark):
     empty = frame(spark, EDGES[:1]).limit(0)
     assert bpe.encode(empty, PATH, public_tokenizers.PATTERN).collect() == []
