@@ -3,11 +3,10 @@
 Each flow enters its source's window at its own time and leaves it just after ``time + W``. The
 state of the window at a flow is therefore a running sum of entries and exits.
 
-Flows shuffle once, by source and block of time. A block also gets the last W of the block
-before it, so every window lies inside one block and a source that owns a third of all flows
-spreads over as many tasks as it has blocks. Sources that still crowd one block, a burst, take
-a second path: running sums cut into slices as short as needed, each starting from the totals
-of the slices before it, over rows summed per instant and per slice beforehand.
+Exits are summed per instant, and an endpoint or port enters and leaves once per stretch of use,
+found from its first and last use in each slice of time. The sums run along (time, phase, RowID)
+in ranges cut by sampled ranks (see ``prefix``), so a source may own a third of all flows, or all
+flows of one instant, and still spread over as many tasks as its share of rows asks for.
 """
 
 from __future__ import annotations
@@ -20,15 +19,14 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.numeric import finite, ratio
 from flowspark.functions.times import iso_text, parse_mixed_timestamp
+from flowspark.operators.prefix import running_totals
 from flowspark.schema import q, resolve_alias
-from flowspark.session import is_small_input, local_table
+from flowspark.session import materialize
 
 KEY = ["InputFile", "SourceIP"]
 COUNTS = ["WindowFlowCount", "WindowUniqueDestinationPorts", "WindowUniqueDestinationEndpoints",
           "WindowSYNFlows", "WindowRSTFlows", "WindowNoResponseFlows"]
 ENTERING, LEAVING = 0, 1
-# Flows of one source in one block above which the source takes the sliced path.
-BURST_ROWS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -39,17 +37,11 @@ class ScanRule:
     minimum_unique_ports: int = 20
     minimum_syn_flows: int = 20
     slice_seconds: float | None = None
-    block_windows: int = 4
 
     @property
     def window_us(self) -> int:
         return round(self.window_seconds * 1_000_000)
 
-    @property
-    def block_us(self) -> int:
-        """Length of a block; a quarter of the rows is sent twice when it spans four windows."""
-        return self.window_us * max(1, self.block_windows)
-
     @property
     def slice_us(self) -> int:
         """Length of a time slice; never longer than the window."""
@@ -80,11 +72,12 @@ def prepare_flows(df: DataFrame, input_file: Column, default_scenario: Column, c
     time = required("timestamp")
     typed = dict(df.dtypes)[resolve_alias(names, "timestamp")].startswith("timestamp")
     row_id = resolve_alias(names, "row_id")
+    port = required("destination_port").cast("string").try_cast("double")
     view = df.select(
         F.coalesce(required("source_ip").cast("string"), F.lit("MISSING")).alias("SourceIP"),
         F.coalesce(required("destination_ip").cast("string"), F.lit("MISSING")).alias("DestinationIP"),
         (time.cast("timestamp") if typed else parse_mixed_timestamp(time)).alias("Timestamp"),
-        required("destination_port").cast("string").try_cast("double").cast("int").alias("DestinationPort"),
+        port.try_cast("int").alias("DestinationPort"),
         number("syn_count").alias("SYNCount"),
         number("rst_count").alias("RSTCount"),
         number("ack_count").alias("ACKCount"),
@@ -134,28 +127,6 @@ def _spans(slices: DataFrame, what: list[str], rule: ScanRule, count: str) -> Da
     )
 
 
-def rolling_source_counts(flows: DataFrame, rule: ScanRule = ScanRule(), burst_rows: int = BURST_ROWS) -> DataFrame:
-    """State of the source's window at every flow, counting flows up to and including it.
-
-    Flows are ordered by (Timestamp, RowID) within (InputFile, SourceIP); a flow exactly one
-    window old still counts. Adds the six ``Window…`` columns to the flow.
-    """
-    if is_small_input(flows):
-        return _by_block(flows, rule)
-    block = F.floor(F.unix_micros("Timestamp") / F.lit(rule.block_us))
-    crowded = (
-        flows.groupBy(*KEY, block.alias("_block")).agg(F.count("*").alias("_n")).where(F.col("_n") > burst_rows)
-        .select(*KEY).distinct()
-    )
-    bursts, is_local = local_table(crowded)
-    if not is_local:
-        return _by_slice(flows, rule)
-    if bursts.isEmpty():
-        return _by_block(flows, rule)
-    calm = flows.join(F.broadcast(bursts), KEY, "left_anti")
-    return _by_block(calm, rule).unionByName(_by_slice(flows.join(F.broadcast(bursts), KEY, "left_semi"), rule))
-
-
 def _flags() -> dict[str, Column]:
     return dict(
         WindowFlowCount=F.lit(1), WindowSYNFlows=(F.col("SYNCount") > 0).cast("int"),
@@ -164,55 +135,12 @@ def _flags() -> dict[str, Column]:
     )
 
 
-def _by_block(flows: DataFrame, rule: ScanRule) -> DataFrame:
-    """One shuffle: blocks of time per source, each with the last window of the block before."""
-    window, length = F.lit(rule.window_us), F.lit(rule.block_us)
-    home = F.floor(F.col("_at") / length)
-    late = F.col("_at") >= (home + 1) * length - window
-    payload = [c for c in flows.columns if c not in KEY]
-    placed = flows.withColumn("_at", F.unix_micros("Timestamp")).withColumn(
-        "_block", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home)))
-    )
-    # One column places the rows, so that all windows below run without another exchange.
-    placed = placed.withColumn("_place", F.xxhash64(*KEY, "_block")).repartition("_place")
-    block = ["_place", *KEY, "_block"]
-
-    def spans(*what: str) -> tuple[Column, Column]:
-        order = Window.partitionBy(*block, *what).orderBy("_at", "RowID")
-        before, after = F.lag("_at").over(order), F.lead("_at").over(order)
-        return (
-            (before.isNull() | (F.col("_at") - before > window)).cast("long"),
-            (after.isNull() | (after - F.col("_at") > window)).cast("long"),
-        )
-
-    endpoint_opens, endpoint_closes = spans("DestinationPort", "DestinationIP")
-    port_opens, port_closes = spans("DestinationPort")
-    seen = placed.withColumns({"_eo": endpoint_opens, "_ec": endpoint_closes}).withColumns(
-        {"_po": port_opens, "_pc": port_closes}
-    )
-    flags = _flags()
-    own = F.col("_block") == home
-    enter = F.struct(
-        F.col("_at"), F.lit(ENTERING).alias("_phase"), F.col("RowID").alias("_pos"), own.alias("_own"),
-        *_deltas(**flags, WindowUniqueDestinationPorts=F.col("_po"), WindowUniqueDestinationEndpoints=F.col("_eo")),
-        F.when(own, F.struct(*payload)).alias("_row"),
-    )
-    leave = F.struct(
-        (F.col("_at") + window).alias("_at"), F.lit(LEAVING).alias("_phase"), F.lit(0).cast("long").alias("_pos"),
-        F.lit(False).alias("_own"),
-        *_deltas(**{k: -v for k, v in flags.items()}, WindowUniqueDestinationPorts=-F.col("_pc"),
-                 WindowUniqueDestinationEndpoints=-F.col("_ec")),
-        F.when(F.lit(False), F.struct(*payload)).alias("_row"),
-    )
-    matters = F.col("_at") + window < (F.col("_block") + 1) * length
-    events = seen.select(*block, F.inline(F.when(matters, F.array(enter, leave)).otherwise(F.array(enter))))
-    inside = Window.partitionBy(*block).orderBy("_at", "_phase", "_pos").rowsBetween(Window.unboundedPreceding, 0)
-    running = events.select(*KEY, "_own", "_row", *[F.sum(c).over(inside).alias(c) for c in COUNTS])
-    return running.where(F.col("_own")).select(*KEY, "_row.*", *COUNTS)
-
+def rolling_source_counts(flows: DataFrame, rule: ScanRule = ScanRule()) -> DataFrame:
+    """State of the source's window at every flow, counting flows up to and including it.
 
-def _by_slice(flows: DataFrame, rule: ScanRule) -> DataFrame:
-    """Running sums over slices of any length, for sources too dense for one block."""
+    Flows are ordered by (Timestamp, RowID) within (InputFile, SourceIP); a flow exactly one
+    window old still counts. Adds the six ``Window…`` columns to the flow.
+    """
     window, length = F.lit(rule.window_us), F.lit(rule.slice_us)
     base = flows.withColumn("_at", F.unix_micros("Timestamp"))
     flags = _flags()
@@ -238,22 +166,9 @@ def _by_slice(flows: DataFrame, rule: ScanRule) -> DataFrame:
         [own, exits,
          _spans(endpoints, ["DestinationIP", "DestinationPort"], rule, "WindowUniqueDestinationEndpoints"),
          _spans(ports, ["DestinationPort"], rule, "WindowUniqueDestinationPorts")],
-    ).withColumn("_block", F.floor(F.col("_at") / length))
-    block = KEY + ["_block"]
-    prior = Window.partitionBy(*KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        events.groupBy(*block).agg(*[F.sum(c).alias(c) for c in COUNTS])
-        .select(*block, *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(f"_start_{c}") for c in COUNTS])
-    )
-    inside = (
-        Window.partitionBy(*block).orderBy("_at", "_phase", "_pos", "_own")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    running = events.join(starts, block).select(
-        *KEY, "_own", "_row",
-        *[(F.sum(c).over(inside) + F.col(f"_start_{c}")).alias(c) for c in COUNTS],
     )
-    return running.where(F.col("_own") == 1).select(*KEY, "_row.*", *COUNTS)
+    running = running_totals(events, KEY, ["_at", "_phase", "_pos", "_own"], COUNTS)
+    return running.where(F.col("_own") == 1).select(*KEY, "_row.*", *[F.col(f"cum_{c}").alias(c) for c in COUNTS])
 
 
 def _crosses(rule: ScanRule) -> Column:
@@ -335,5 +250,5 @@ def source_summary(states: DataFrame, rule: ScanRule = ScanRule()) -> DataFrame:
 
 def correlate(flows: DataFrame, rule: ScanRule = ScanRule()) -> tuple[DataFrame, DataFrame]:
     """Summaries of all sources and the alerts among them."""
-    states = source_states(rolling_source_counts(flows, rule), rule)
+    states = materialize(source_states(rolling_source_counts(flows, rule), rule), "source-states")
     return source_summary(states, rule), first_alerts(states, rule)

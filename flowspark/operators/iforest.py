@@ -117,7 +117,7 @@ class IsolationForest:
                     total += path.take(at)
                 yield pa.array(np.exp2(-total / len(forest["cut"]) / max(expected, 1e-12)))
 
-        return spread(df).withColumn(name, anomaly(self.vector()))
+        return df.withColumn(name, anomaly(self.vector()))
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame(self.nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/trees")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.numeric import ratio
-from flowspark.operators.prefix import BLOCK_ROWS, exact_quantiles, running_totals
+from flowspark.operators.prefix import exact_quantiles, running_totals
 from flowspark.session import lookup_join
 
 CELLS = ["true_negative", "false_positive", "false_negative", "true_positive"]
@@ -90,17 +90,17 @@ def score_counts(df: DataFrame, keys: Sequence[str] = (), label: str = "BinaryLa
 
 
 def cumulative_scores(df: DataFrame, keys: Sequence[str] = (), label: str = "BinaryLabel",
-                      score: str = "Score", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      score: str = "Score") -> DataFrame:
     """True and false positives when everything at or above each distinct score is flagged."""
     counts = score_counts(df, keys, label, score).withColumn("_down", -F.col("score"))
-    totals = running_totals(counts, keys, "_down", ["pos", "neg"], block_rows)
+    totals = running_totals(counts, keys, "_down", ["pos", "neg"])
     return totals.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"}).drop("_down")
 
 
 def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), label: str = "BinaryLabel",
-                    score: str = "Score", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    score: str = "Score") -> DataFrame:
     """ROC AUC with half credit for ties and step-wise average precision; null for one class."""
-    points = cumulative_scores(df, keys, label, score, block_rows)
+    points = cumulative_scores(df, keys, label, score)
     pos, neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     wins = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / 2.0))
     steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
@@ -112,9 +112,9 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str] = (), label: str = "Binar
 
 
 def curve_points(df: DataFrame, keys: Sequence[str] = (), label: str = "BinaryLabel",
-                 score: str = "Score", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 score: str = "Score") -> DataFrame:
     """ROC and precision-recall coordinates at every distinct threshold."""
-    points = cumulative_scores(df, keys, label, score, block_rows)
+    points = cumulative_scores(df, keys, label, score)
     by = list(keys) or ["_all"]
     base = points if keys else points.withColumn("_all", F.lit(0))
     totals = base.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -184,10 +184,9 @@ def rank_candidates(table: DataFrame, by: Sequence[str], name: str = "model") ->
     return table.orderBy(*[F.col(c).desc() for c in by], name)
 
 
-def quantile_threshold(df: DataFrame, max_fpr: float, keys: Sequence[str] = (), score: str = "Score",
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
+def quantile_threshold(df: DataFrame, max_fpr: float, keys: Sequence[str] = (), score: str = "Score") -> DataFrame:
     """Score above which a share of `max_fpr` lies, and the share really flagged by it."""
-    limits = exact_quantiles(df, score, [1.0 - max_fpr], keys, block_rows).select(
+    limits = exact_quantiles(df, score, [1.0 - max_fpr], keys).select(
         *keys, F.col("quantile").alias("threshold"), "rows"
     )
     by = list(keys) or ["_all"]

@@ -7,63 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.schema import q
-from flowspark.session import is_small_input, local_table, lookup_join
+from flowspark.session import lookup_join, materialize
 
-BINS = 4096
-BLOCK_ROWS = 2_000_000
 
+def running_totals(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Add inclusive running sums ``cum_<name>`` along ascending `order` within `keys` (null is a key like any other).
 
-def _busy_groups(df: DataFrame, by: list[str], order: str, block_rows: int) -> DataFrame | None:
-    """Value range of every group above `block_rows` rows; there are at most rows / block_rows."""
-    busy = (
-        df.groupBy(*by)
-        .agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-        .where((F.col("_n") > block_rows) & (F.col("_hi") > F.col("_lo"))).drop("_n")
-    )
-    table, is_local = local_table(busy)
-    return None if is_local and table.isEmpty() else table
-
-
-def _binned(df: DataFrame, by: list[str], order: str, name: str, busy: DataFrame | None) -> DataFrame:
-    """Add `name`: an order-preserving bin inside busy groups, 0 elsewhere."""
-    if busy is None:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    position = F.floor((F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS)
-    inside = F.least(position, F.lit(BINS - 1))
-    joined = df.join(F.broadcast(busy), by, "left")
-    return joined.withColumn(name, F.coalesce(inside, F.lit(0)).cast("long")).drop("_lo", "_hi")
-
-
-def running_totals(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
-                   block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add inclusive running sums ``cum_<name>`` along ascending `order` within `keys`.
-
-    `order` is numeric and unique within `keys` (group by it first). Keys with at most
-    `block_rows` rows use one plain window. Larger ones are cut into value bins, twice where
-    values crowd together, and each bin starts from the summed totals of the bins before it.
+    `order` is unique within `keys` (group by it first). The rows are cut by sampled ranks of keys and order into ranges
+    of equal size, whatever the keys' sizes and however values crowd, and each range of a key starts from the summed
+    totals of its ranges before. The cut rows are stored, so that totals and rows agree on the ranges.
     """
-    base, by = (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
-    kept = [F.col(q(c)) for c in df.columns]
-    busy = None if is_small_input(base) else _busy_groups(base, by, order, block_rows)
-    if busy is None:
-        whole = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return base.select(*kept, *[F.sum(c).over(whole).alias(f"cum_{c}") for c in sums])
-    coarse = _binned(base, by, order, "_b1", busy)
-    blocked = _binned(coarse, by + ["_b1"], order, "_b2", _busy_groups(coarse, by + ["_b1"], order, block_rows))
-    block = by + ["_b1", "_b2"]
-    prior = Window.partitionBy(*by).orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
+    by, along = list(keys), [order] if isinstance(order, str) else list(order)
+    ranged = df.repartitionByRange(*[F.col(f"`{c}`") for c in by + along]).withColumn("_part", F.spark_partition_id())
+    placed = materialize(ranged, "ranges")
+    part = by + ["_part"]
+    prior = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range and key in it: a key has at most as many as there are ranges
     starts = (
-        blocked.groupBy(*block).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-        .select(*block, *[F.coalesce(F.sum(f"_t_{c}").over(prior), F.lit(0)).alias(f"_start_{c}") for c in sums])
+        placed.groupBy(*part).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+        .select(*part, *[F.coalesce(F.sum(f"_t_{c}").over(prior), F.lit(0)).alias(f"_start_{c}") for c in sums])
     )
-    inside = Window.partitionBy(*block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*part).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
     totals = [(F.sum(c).over(inside) + F.col(f"_start_{c}")).alias(f"cum_{c}") for c in sums]
-    return blocked.join(starts, block).select(*kept, *totals)
+    return lookup_join(placed, starts, part).select(*[F.col(f"`{c}`") for c in df.columns], *totals)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
-                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles per key: columns keys, ``prob``, ``quantile``, ``rows``.
 
     Equal values collapse first, so the shuffle carries distinct values only; the ranks on
@@ -75,7 +44,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
-    ranked = running_totals(counted, by, "_v", ["_n"], block_rows)
+    ranked = running_totals(counted, by, "_v", ["_n"])
     rows = counted.groupBy(*by).agg(F.sum("_n").alias("rows"))
     targets = F.transform(
         F.array(*[F.lit(float(p)) for p in probs]),

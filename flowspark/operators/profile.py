@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.labels import BENIGN, normalize_label
-from flowspark.functions.numeric import feature_value, is_coerced, is_infinite, parsed_double, ratio
+from flowspark.functions.numeric import (
+    cell_is_coerced, cell_is_infinite, cell_value, feature_value, parsed_cell, parsed_double, ratio,
+)
 from flowspark.functions.times import parse_mixed_timestamp
 from flowspark.schema import (
     ALIGNMENT_COLUMNS, INFINITY_TOKENS, clean_header, find_label_column, q, repeated_names, resolve_alias,
@@ -23,9 +25,11 @@ def _total(terms: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms, F.lit(0)).cast("long")
 
 
-def missing_cells(columns: Sequence[str]) -> Column:
-    """Missing cells of a row."""
-    return _total([F.col(q(c)).isNull().cast("int") for c in columns])
+def missing_cells(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Missing cells of a row: null, or NaN in a numeric column."""
+    kinds = dict(df.dtypes)
+    terms = [F.col(q(c)).isNull() | F.isnan(F.col(q(c))) if kinds[c] in ("float", "double") else F.col(q(c)).isNull() for c in columns]
+    return _total([t.cast("int") for t in terms])
 
 
 def infinite_cells(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -49,7 +53,7 @@ def profile_files(df: DataFrame, columns: Sequence[str], header: Sequence[str],
 
     `header` holds the cleaned names with repeats, `columns` the unique names of the data cells.
     """
-    missing = missing_cells(columns)
+    missing = missing_cells(df, columns)
     empty = missing == len(columns)
     label = find_label_column(columns)
     return df.groupBy(*by).agg(
@@ -106,14 +110,16 @@ def binary_summary(df: DataFrame, label: str = "Label") -> DataFrame:
 
 def feature_quality(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Cells replaced or lost when raw columns become features."""
+    cells = df.select(*by, *[parsed_cell(F.col(q(f))).alias(f"_cell{k}") for k, f in enumerate(features)])
+
     def counted(test) -> Column:
-        return F.sum(_total([test(F.col(q(f))).cast("int") for f in features]))
+        return F.sum(_total([test(F.col(f"_cell{k}")).cast("int") for k in range(len(features))]))
 
-    return df.groupBy(*by).agg(
+    return cells.groupBy(*by).agg(
         F.count("*").alias("rows"),
-        counted(is_infinite).alias("infinity_values"),
-        counted(is_coerced).alias("coerced_values"),
-        counted(lambda c: feature_value(c).isNull()).alias("missing_values"),
+        counted(cell_is_infinite).alias("infinity_values"),
+        counted(cell_is_coerced).alias("coerced_values"),
+        counted(lambda c: cell_value(c).isNull()).alias("missing_values"),
     )
 
 
@@ -130,10 +136,14 @@ def preprocessing_summary(quality: DataFrame, pairs: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- collection pairs
 
 
+def _digits(number: Column) -> Column:
+    return F.when(number.isNotNull(), F.format_string("%.12e", number))
+
+
 def alignment_rows(df: DataFrame, label: str, by: Sequence[str] = ("Scenario", "RowID")) -> DataFrame:
-    """Row key and a digest over the shared columns; absent columns count as missing."""
+    """Row key and a digest over the shared columns, numbers to 13 digits; absent columns count as missing."""
     parts = [
-        F.coalesce(parsed_double(F.col(q(c))).cast("string"), F.lit("")) if c in df.columns else F.lit("")
+        F.coalesce(_digits(parsed_double(F.col(q(c)))), F.lit("")) if c in df.columns else F.lit("")
         for c in ALIGNMENT_COLUMNS
     ]
     digest = F.md5(F.concat_ws("|", F.col("RowID").cast("string"), *parts, normalize_label(F.col(q(label)))))

@@ -1,8 +1,8 @@
 """Deterministic sampling and splitting by hash rank.
 
 A row's rank is the position of its md5 key inside its stratum, so every run and every engine
-draws the same rows. Ranks are found through counts of md5 prefixes: only the few rows that
-share a prefix with a cut are ever sorted, and no stratum is sorted as a whole.
+draws the same rows. Counts of md5 prefixes decide all rows but those that share a prefix with a
+cut, in a plain pass; only these few are shuffled and ranked. A null stratum is one like any other.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.numeric import ratio
 from flowspark.schema import OPERATIONAL_FAMILIES
-from flowspark.session import lookup_join, skew_safe_lookup
+from flowspark.session import lookup_join, materialize, null_safe, skew_safe_lookup
 
 SEED = 42
 SPLITS = ["train", "validation", "test"]
@@ -41,12 +41,12 @@ def hash_segments(df: DataFrame, strata: Sequence[str], ids: Sequence[str], cuts
     strata = list(strata)
     keyed = _hashed(df, ids, seed)
     before = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    prefixes = (
+    prefixes = null_safe(
         keyed.groupBy(*strata, "_b").agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .join(cuts, strata)
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))),
+        cuts, strata,
     )
-    edges = prefixes.groupBy(*strata).agg(*[
+    edges = materialize(prefixes.groupBy(*strata).agg(*[
         agg for name in names for agg in (
             F.max(F.when(F.col("_before") < F.col(name), F.col("_b"))).alias(f"_edge_{name}"),
             F.max_by(
@@ -54,18 +54,21 @@ def hash_segments(df: DataFrame, strata: Sequence[str], ids: Sequence[str], cuts
                 F.when(F.col("_before") < F.col(name), F.col("_b")),
             ).alias(f"_left_{name}"),
         )
-    ])
+    ]), "edges")
     placed = lookup_join(keyed, edges, strata)
-    if rest is None:
-        placed = placed.where(F.col("_b") <= F.col(f"_edge_{names[-1]}"))
+    on_edge = F.coalesce(reduce(lambda a, b: a | b, [F.col("_b").eqNullSafe(F.col(f"_edge_{name}")) for name in names]), F.lit(False))
+
+    def segment(rank: Column) -> Column:
+        found = F.lit(rest)
+        for name in reversed(names):
+            edge, left = F.col(f"_edge_{name}"), F.col(f"_left_{name}")
+            found = F.when((F.col("_b") < edge) | ((F.col("_b") == edge) & (rank <= left)), name).otherwise(found)
+        return found
+
     rank = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", *ids))
-    placed = placed.withColumn("_rank", rank)
-    segment = None
-    for name in names:
-        edge, left = F.col(f"_edge_{name}"), F.col(f"_left_{name}")
-        inside = (F.col("_b") < edge) | ((F.col("_b") == edge) & (F.col("_rank") <= left))
-        segment = F.when(inside, name) if segment is None else segment.when(inside, name)
-    labelled = placed.withColumn("segment", segment if rest is None else segment.otherwise(rest))
+    decided = placed.where(~on_edge).withColumn("segment", segment(F.lit(0)))
+    ranked = placed.where(on_edge).withColumn("_rank", rank).withColumn("segment", segment(F.col("_rank"))).drop("_rank")
+    labelled = decided.unionByName(ranked)
     if rest is None:
         labelled = labelled.where(F.col("segment").isNotNull())
     return labelled.select(*[F.col(f"`{c}`") for c in df.columns], "segment")
@@ -189,7 +192,7 @@ def assign_groups(groups: DataFrame, group: str, stratum: str, seed: int = SEED)
     )
     inside = Window.partitionBy(stratum, "_b").orderBy("_h", group).rowsBetween(Window.unboundedPreceding, -1)
     begin = F.col("_start") + F.coalesce(F.sum("_weight").over(inside), F.lit(0))
-    placed = laid.join(starts, [stratum, "_b"]).withColumn("_begin", begin)
+    placed = null_safe(laid, starts, [stratum, "_b"]).withColumn("_begin", begin)
     split = (
         F.when(F.col("rows") * 2 > F.col("_total"), "train")
         .when(F.col("_begin") * 100 < F.col("_total") * 20, "test")
@@ -202,7 +205,8 @@ def assign_groups(groups: DataFrame, group: str, stratum: str, seed: int = SEED)
 def grouped_stratified_split(df: DataFrame, group: str = "GroupID", stratum: str = "Stratum",
                              seed: int = SEED, hot_rows: int = 1_000_000) -> DataFrame:
     """Add ``split`` so that no group is divided and every stratum is balanced."""
-    assigned = assign_groups(group_table(df, group, stratum), group, stratum, seed)
+    groups = materialize(group_table(df, group, stratum), "groups")
+    assigned = materialize(assign_groups(groups, group, stratum, seed), "assigned")
     return skew_safe_lookup(df, assigned.select(group, "rows", "split"), group, "rows", hot_rows)
 
 
@@ -220,7 +224,7 @@ def grouped_split_all_classes(df: DataFrame, family: str = "OperationalFamily",
     try:
         for attempt in range(max_attempts):
             assigned = assign_groups(groups, group, "_stratum", seed + attempt)
-            seen = members.join(assigned.select(group, "split"), group).select(family, "split").distinct()
+            seen = null_safe(members, assigned.select(group, "split"), [group]).select(family, "split").distinct()
             if seen.count() == expected:
                 table = assigned.select(group, "rows", "split")
                 return skew_safe_lookup(df, table, group, "rows"), seed + attempt

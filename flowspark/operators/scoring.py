@@ -67,16 +67,18 @@ def technique_lookup(techniques: DataFrame) -> DataFrame:
 def enrich(fused: DataFrame, techniques: DataFrame) -> DataFrame:
     """Add tactic, technique and note: by family for known attacks, else by anomaly or benign."""
     table = technique_lookup(techniques)
-    families = [row[0] for row in table.select("_entry").limit(10_000).collect()]
-    absent = {FALLBACK_FAMILY, ANOMALY_ENTRY, BENIGN_ENTRY} - set(families)
+    special = {row["_entry"]: row for row in table.where(F.col("_entry").isin(FALLBACK_FAMILY, ANOMALY_ENTRY, BENIGN_ENTRY)).collect()}
+    absent = {FALLBACK_FAMILY, ANOMALY_ENTRY, BENIGN_ENTRY} - set(special)
     if absent:
         raise ValueError(f"technique map lacks {', '.join(sorted(absent))}")
-    family = F.col("PredictedAttackFamily")
     entry = (
-        F.when(F.col("BinaryPrediction") == "ATTACK", F.when(family.isin(families), family).otherwise(FALLBACK_FAMILY))
+        F.when(F.col("BinaryPrediction") == "ATTACK", F.col("PredictedAttackFamily"))
         .when(F.col("AnomalyFlag"), ANOMALY_ENTRY).otherwise(BENIGN_ENTRY)
     )
-    return lookup_join(fused.withColumn("_entry", entry), table, ["_entry"], "left").drop("_entry")
+    joined = lookup_join(fused.withColumn("_entry", entry), table.withColumn("_found", F.lit(True)), ["_entry"], "left")
+    fallback = special[FALLBACK_FAMILY]
+    filled = {c: F.when(F.col("_found"), F.col(c)).otherwise(F.lit(fallback[c])) for c in table.columns if c != "_entry"}
+    return joined.withColumns(filled).drop("_entry", "_found")
 
 
 def add_correctness(df: DataFrame, label: str = "BinaryLabel", prediction: Column | None = None,

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.functions.labels import severity_rank
-from flowspark.functions.text import contains_text
 from flowspark.schema import SEVERITIES, q, resolve_alias
 
 ALERTING = SEVERITIES[:3]
@@ -86,28 +85,27 @@ def benign_counts(df: DataFrame, by: str = "Scenario") -> DataFrame:
     return df.groupBy(by).agg(F.count_if(F.col("BinaryLabel") == 0).alias("benign_rows"))
 
 
-def find_rows(df: DataFrame, token: str, column: str = "Scenario") -> DataFrame:
-    return df.where(contains_text(F.col(column), token))
-
-
-def layer_counts(layer: str, df: DataFrame, flagged, by: Sequence[str] = ("Scenario", "GroundTruth")) -> DataFrame:
-    """Events a detection layer raised per scenario, out of the records it saw."""
+def layer_counts(layer: str, df: DataFrame, flagged: Column, severity: Column | None = None, techniques: Column | None = None,
+                 by: Sequence[str] = ("Scenario", "GroundTruth")) -> DataFrame:
+    """Events a detection layer raised per scenario, out of the records it saw, with its own highest severity and the
+    techniques it named (id, name and tactic joined by `|` in `techniques`)."""
+    rank = F.lit(None).cast("int") if severity is None else F.when(flagged, severity_rank(severity))
+    named = F.lit(None).cast("string") if techniques is None else F.when(flagged & (techniques != ""), techniques)
     return df.groupBy(*by).agg(
-        F.count("*").alias("Records"), F.count_if(flagged).alias("EventCount")
-    ).select(*by, F.lit(layer).alias("DetectionLayer"), "Records", "EventCount")
+        F.count("*").alias("Records"), F.count_if(flagged).alias("EventCount"), F.min(rank).alias("_severity"),
+        F.array_join(F.sort_array(F.collect_set(named)), "; ").alias("Techniques"),
+    ).select(*by, F.lit(layer).alias("DetectionLayer"), "Records", "EventCount", "_severity", "Techniques")
 
 
 def compare_layers(layers: Sequence[DataFrame], benign: str = "BENIGN") -> DataFrame:
-    """Verdict of every detection layer against the ground truth of each scenario."""
+    """Verdict of every detection layer against the ground truth of each scenario, from the layer's own facts."""
     table = reduce(lambda a, b: a.unionByName(b), layers)
     hit, attack = F.col("EventCount") > 0, F.col("GroundTruth") != benign
+    names = F.lit(SEVERITIES)
     return table.select(
         "Scenario", "GroundTruth", "DetectionLayer", hit.alias("AnalystFacingDetection"), "Records", "EventCount",
         F.concat(F.col("EventCount"), F.lit(" of "), F.col("Records"), F.lit(" records flagged")).alias("Result"),
-        F.when(hit, "High").otherwise("Low").alias("Severity"),
-        F.when(attack, "Reconnaissance").otherwise("").alias("MITRETactic"),
-        F.when(attack, "T1595").otherwise("").alias("MITRETechniqueID"),
-        F.when(attack, "Active Scanning").otherwise("").alias("MITRETechniqueName"),
+        F.coalesce(F.get(names, F.col("_severity")), F.lit("")).alias("Severity"), "Techniques",
         F.when(attack & hit, "Detected").when(attack, "Missed").when(hit, "False alarm").otherwise("Correctly quiet")
         .alias("Interpretation"),
     )

@@ -148,13 +148,20 @@ def technique_usage(spark, sf):
 
 LAYERS = ["Known-attack model", "Anomaly detector", "Cross-flow correlation", "Sensor"]
 LAYER_SQL = with_flows(LEDGER_SQL + catalog_correlate.rolled_sql() + catalog_correlate.HEADS + """,
-truths AS (SELECT row_id, scenario, CASE WHEN binary_label = 1 THEN 'ATTACK' ELSE 'BENIGN' END AS truth, prediction, anomaly, source FROM ledger),
+truths AS (SELECT row_id, scenario, CASE WHEN binary_label = 1 THEN 'ATTACK' ELSE 'BENIGN' END AS truth, prediction, anomaly, source,
+  CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END AS rank,
+  CASE WHEN technique <> '' THEN technique || ' ' || technique_name ELSE '' END AS named FROM ledger),
+raised AS (
+  SELECT scenario, truth, 'Known-attack model' AS layer, prediction = 'ATTACK' AS hit, rank, named FROM truths
+  UNION ALL SELECT scenario, truth, 'Anomaly detector', anomaly, rank, named FROM truths
+  UNION ALL SELECT h.scenario, h.truth, 'Cross-flow correlation', hit, 1, 'T1595 - Active Scanning' FROM heads h
+    JOIN (SELECT src, bool_or(ports >= 5 AND syn_flows >= 5) AS hit FROM rolled GROUP BY 1) s ON s.src = h.src
+  UNION ALL SELECT t.scenario, t.truth, 'Sensor', e.event_type = 'error', NULL, '' FROM truths t JOIN events e ON e.event_id = t.row_id),
 layer AS (
-  SELECT scenario, truth, 'Known-attack model' AS layer, count(*) AS records, count(*) FILTER (prediction = 'ATTACK') AS events FROM truths GROUP BY 1, 2
-  UNION ALL SELECT scenario, truth, 'Anomaly detector', count(*), count(*) FILTER (anomaly) FROM truths GROUP BY 1, 2
-  UNION ALL SELECT h.scenario, h.truth, 'Cross-flow correlation', count(*), count(*) FILTER (hit) FROM heads h
-    JOIN (SELECT src, bool_or(ports >= 5 AND syn_flows >= 5) AS hit FROM rolled GROUP BY 1) s ON s.src = h.src GROUP BY 1, 2
-  UNION ALL SELECT t.scenario, t.truth, 'Sensor', count(*), count(*) FILTER (e.event_type = 'error') FROM truths t JOIN events e ON e.event_id = t.row_id GROUP BY 1, 2)""")
+  SELECT scenario, truth, layer, count(*) AS records, count(*) FILTER (hit) AS events,
+    CASE min(rank) FILTER (hit) WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' WHEN 3 THEN 'Low' ELSE '' END AS severity,
+    coalesce(array_to_string(list_sort(list(DISTINCT named) FILTER (hit AND named <> '')), '; '), '') AS techniques
+  FROM raised GROUP BY 1, 2, 3)""")
 
 
 def _layers(spark, sf):
@@ -162,10 +169,13 @@ def _layers(spark, sf):
     truth = F.when(F.col("BinaryLabel") == 1, "ATTACK").otherwise("BENIGN")
     judged = book.withColumn("GroundTruth", truth)
     sensor = f.withColumn("GroundTruth", truth).select("Scenario", "GroundTruth", "DestinationIP")
+    severity = F.col("AlertSeverity")
+    named = F.when(F.col("MITRETechniqueID") != "", F.concat_ws(" ", "MITRETechniqueID", "MITRETechniqueName")).otherwise("")
     return [
-        soc.layer_counts(LAYERS[0], judged, F.col("BinaryPrediction") == "ATTACK"),
-        soc.layer_counts(LAYERS[1], judged, F.col("AnomalyFlag")),
-        soc.layer_counts(LAYERS[2], catalog_correlate.source_summary(spark, sf), F.col("CrossFlowScanFlag")),
+        soc.layer_counts(LAYERS[0], judged, F.col("BinaryPrediction") == "ATTACK", severity, named),
+        soc.layer_counts(LAYERS[1], judged, F.col("AnomalyFlag"), severity, named),
+        soc.layer_counts(LAYERS[2], catalog_correlate.source_summary(spark, sf), F.col("CrossFlowScanFlag"), F.lit("High"),
+                         F.col("MITREGroundTruth")),
         soc.layer_counts(LAYERS[3], sensor, F.col("DestinationIP") == "error"),
     ]
 
@@ -173,9 +183,7 @@ def _layers(spark, sf):
 @query("layer_comparison", LAYER_SQL + """
 SELECT scenario AS "Scenario", truth AS "GroundTruth", layer AS "DetectionLayer", events > 0 AS "AnalystFacingDetection", records AS "Records",
   events AS "EventCount", CAST(events AS VARCHAR) || ' of ' || CAST(records AS VARCHAR) || ' records flagged' AS "Result",
-  CASE WHEN events > 0 THEN 'High' ELSE 'Low' END AS "Severity", CASE WHEN truth = 'ATTACK' THEN 'Reconnaissance' ELSE '' END AS "MITRETactic",
-  CASE WHEN truth = 'ATTACK' THEN 'T1595' ELSE '' END AS "MITRETechniqueID",
-  CASE WHEN truth = 'ATTACK' THEN 'Active Scanning' ELSE '' END AS "MITRETechniqueName",
+  severity AS "Severity", techniques AS "Techniques",
   CASE WHEN truth = 'ATTACK' THEN CASE WHEN events > 0 THEN 'Detected' ELSE 'Missed' END
     ELSE CASE WHEN events > 0 THEN 'False alarm' ELSE 'Correctly quiet' END END AS "Interpretation" FROM layer""")
 def layer_comparison(spark, sf):

@@ -11,7 +11,7 @@ from flowspark.operators import models, profile, scoring, soc
 from flowspark.operators.iforest import IsolationForest
 from flowspark.operators.models import Detector
 from flowspark.schema import SEVERITIES
-from flowspark.session import beside, spread
+from flowspark.session import beside
 from flowspark.sources import csv_flows
 from flowspark.sources.lookups import read_technique_map
 from flowspark.techniques import default_techniques
@@ -71,7 +71,7 @@ def analyze(df: DataFrame, bundle: Bundle) -> DataFrame:
     One pass: the family model also sees rows the binary model clears, and its answer is then
     blanked. A second branch for flagged rows alone would read the table twice.
     """
-    ready = spread(profile.prepare_features(df, bundle.features))
+    ready = profile.prepare_features(df, bundle.features)
     known = bundle.binary.attack_probability(ready, "KnownAttackProbability")
     family = bundle.family.predict_class(known, "_family", "_confidence")
     scored = bundle.anomaly.score(family)

@@ -292,8 +292,3 @@ def duplicate_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
         if dot and suffix.isdigit() and base in names:
             pairs.append((base, name))
     return pairs
-
-
-def safe_name(text: str, keep: str = "A-Za-z0-9._-") -> str:
-    """File-system-safe form of a name."""
-    return re.sub(f"[^{keep}]+", "_", text)

@@ -1,21 +1,19 @@
-"""Session helpers: settings, shared scratch space and size-checked small tables."""
+"""Session helpers: settings, shared scratch space, size-checked small tables and null-safe joins."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a driver-side lookup may hold before an operator falls back to a shuffle join.
-SMALL_TABLE_ROWS = 50_000
+# Rows of a lookup table that may be broadcast; a larger one is joined by a shuffle, with the same result.
+BROADCAST_ROWS = 50_000
 
-# Inputs Spark estimates below this size skip the extra pass that looks for heavy keys.
-SMALL_INPUT_SETTING = "spark.flowspark.smallInputBytes"
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
+# Keys of a skewed join that get their values by broadcast, at most.
+HOT_KEYS = 10_000
 
 
 def build_session(app: str = "flowspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,14 +35,14 @@ def build_session(app: str = "flowspark", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach; a local one only where the cluster names none."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    """Folder every executor can reach. Only a local session may do without a configured one."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    local = os.path.join(tempfile.gettempdir(), f"spark-flow-{uuid.uuid4().hex[:8]}")
-    spark.sparkContext.setCheckpointDir(local)
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-flow-"))
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -60,17 +58,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_small_input(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate makes measures against skew pointless."""
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT_SETTING, str(SMALL_INPUT_BYTES)))
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) < limit
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Give work that runs in Python enough tasks when the table has fewer files than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and is_small_input(df) else df
+    """Deal a bounded table, such as a training sample, to all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def beside(*tables: DataFrame) -> DataFrame:
@@ -79,7 +69,7 @@ def beside(*tables: DataFrame) -> DataFrame:
     return rows.agg(*[F.max(f"`{c}`").alias(c) for c in rows.columns])
 
 
-def local_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> tuple[DataFrame, bool]:
+def local_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Pull an aggregated table through the driver only if it has at most `limit` rows.
 
     Returns ``(table, is_local)``. A local table has an exact known size, so the caller may
@@ -91,44 +81,36 @@ def local_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> tuple[DataFrame
     return df.sparkSession.createDataFrame(rows, df.schema), True
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner",
-                limit: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Join to an aggregated table: broadcast if its checked size is small, else shuffle.
+def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of both sides where null equals null; the columns of `left` come first."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    match: Column = reduce(lambda a, b: a & b, [left[c].eqNullSafe(renamed[f"_right_{c}"]) for c in on])
+    return left.join(renamed, match, how).drop(*[f"_right_{c}" for c in on])
 
-    For a small `df` the check would cost more than it saves; the join strategy is then Spark's.
-    """
-    if is_small_input(df):
-        return df.join(table, on, how)
+
+def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "inner",
+                limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join to an aggregated table, nulls matching: by broadcast if its counted rows allow it, else by a shuffle."""
     small, is_local = local_table(table, limit)
-    if not is_local:
-        return df.join(small, on, how)
-    return df.join(F.broadcast(small), on, how)
+    return null_safe(df, F.broadcast(small) if is_local else small, on, how)
 
 
 def skew_safe_lookup(df: DataFrame, table: DataFrame, key: str, weight: str,
                      hot_rows: int = 1_000_000) -> DataFrame:
-    """Left join `df` to `table` (unique on `key`) when a few keys may own most rows of `df`.
+    """Left join `df` to `table` (unique on `key`, nulls matching) when a few keys may own most rows of `df`.
 
-    `weight` counts the rows of `df` behind a key. Keys heavier than `hot_rows` are at most
-    rows / hot_rows many, so they are broadcast; their rows then carry a random, unmatched key
-    through the shuffle join that serves all other keys.
+    `weight` counts the rows of `df` behind a key. Keys above `hot_rows` and above 1 / HOT_KEYS of all rows are at
+    most HOT_KEYS many, so they are broadcast; their rows then travel under hashes of their columns, unmatched, through the join
+    that serves all other keys.
     """
-    if is_small_input(df):
-        return df.join(table.drop(weight), key, "left")
     values = [c for c in table.columns if c not in (key, weight)]
-    hot, is_local = local_table(table.where(F.col(weight) > hot_rows))
-    if not is_local or hot.isEmpty():
-        return df.join(table.drop(weight), key, "left")
-    renamed = hot.select(F.col(key), *[F.col(c).alias(f"_hot_{c}") for c in values],
-                         F.lit(True).alias("_hot"))
-    marked = df.join(F.broadcast(renamed), key, "left").withColumn(
-        "_key", F.when(F.col("_hot").isNull(), F.col(key))
-    ).withColumn("_salt", F.when(F.col("_hot"), F.spark_partition_id() % 997))
-    cold = table.where(F.col(weight) <= hot_rows).drop(weight).withColumnRenamed(key, "_key").withColumn(
-        "_salt", F.lit(None).cast("int")
-    )
-    joined = marked.join(
-        cold, marked["_key"].eqNullSafe(cold["_key"]) & marked["_salt"].eqNullSafe(cold["_salt"]), "left"
-    ).drop(cold["_key"]).drop(cold["_salt"])
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    bound = max(hot_rows, total // HOT_KEYS)
+    hot = df.sparkSession.createDataFrame(table.where(F.col(weight) > bound).collect(), table.schema)
+    renamed = hot.select(F.col(key), *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
+    marked = null_safe(df, F.broadcast(renamed), [key], "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])))
+    cold = table.where(F.col(weight) <= bound).drop(weight).withColumn("_salt", F.lit(None).cast("long"))
+    joined = null_safe(marked, cold, [key, "_salt"], "left")
     kept = [F.col(f"`{c}`") for c in df.columns]
-    return joined.select(*kept, *[F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in values])
+    return joined.select(*kept, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])

@@ -38,19 +38,28 @@ def counts(df):
     return {r["RowID"]: tuple(r[c] for c in COUNTS) for r in df.collect()}
 
 
-@pytest.mark.parametrize("rule,burst_rows,large", [
-    (ScanRule(10, 6, 5), 10**9, False), (ScanRule(10, 6, 5, block_windows=1), 10**9, True),
-    (ScanRule(10, 6, 5, slice_seconds=3), 0, True), (ScanRule(10, 6, 5), 60, True), (ScanRule(0.5, 6, 5), 10**9, False),
-])
-def test_rolling_counts_against_brute_force(spark, rule, burst_rows, large):
-    rows = make()
-    if large:
-        spark.conf.set("spark.flowspark.smallInputBytes", "0")
+@pytest.mark.parametrize("rule", [ScanRule(10, 6, 5), ScanRule(10, 6, 5, slice_seconds=3), ScanRule(0.5, 6, 5)])
+@pytest.mark.parametrize("seconds", [400, 1])
+def test_rolling_counts_against_brute_force(spark, rule, seconds):
+    rows = make(1500 if seconds > 1 else 600, seconds)
+    rolled = correlate.rolling_source_counts(spark.createDataFrame(rows, SCHEMA), rule)
+    assert counts(rolled) == brute(rows, rule.window_seconds)
+
+
+def test_one_instant_is_cut_over_partitions(spark):
+    rows = [("f", "hot", "x", START, k % 50, 1.0, 0.0, 0.0, "s", "g", k) for k in range(900)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        rolled = correlate.rolling_source_counts(spark.createDataFrame(rows, SCHEMA), rule, burst_rows)
-        assert counts(rolled) == brute(rows, rule.window_seconds)
+        assert counts(correlate.rolling_source_counts(spark.createDataFrame(rows, SCHEMA).repartition(6), ScanRule())) == brute(rows, 10)
     finally:
-        spark.conf.unset("spark.flowspark.smallInputBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_oversized_ports_are_counted_as_invalid(spark):
+    flows = spark.createDataFrame([("a", "b", START, "99999999999"), ("a", "b", START, "80")],
+                                  "SourceIP string, DestinationIP string, Timestamp timestamp, DestinationPort string")
+    with pytest.raises(ValueError, match="1 rows have invalid destination ports"):
+        correlate.prepare_flows(flows.withColumn("SYNCount", F.lit(1.0)), F.lit("f"), F.lit("s"))
 
 
 def test_flow_exactly_one_window_old_counts(spark):

@@ -29,7 +29,7 @@ def data(spark):
     return df.withColumn("Stratum", F.concat_ws("::", "Scenario", F.col("BinaryLabel").cast("string"))).cache()
 
 
-def test_medians_and_moments(spark, data, size):
+def test_medians_and_moments(spark, data):
     medians = models.feature_medians(data, FEATURES)
     pdf = data.select(*[f"`{f}`" for f in FEATURES]).toPandas()
     for f in FEATURES:

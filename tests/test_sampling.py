@@ -25,7 +25,7 @@ def test_quotas(spark):
     assert {r["k"]: r["quota"] for r in sampling.allocate_quotas(ties, "k", "n", 2).collect()} == {"a": 1, "b": 1, "c": 0}
 
 
-def test_sample_is_first_by_hash(spark, size):
+def test_sample_is_first_by_hash(spark):
     rows = flows(spark)
     picked = sampling.proportional_sample(rows, 500).collect()
     assert len(picked) == 500 and len({(r["Scenario"], r["RowID"]) for r in picked}) == 500
@@ -36,7 +36,7 @@ def test_sample_is_first_by_hash(spark, size):
         assert mine == set(order[:len(mine)])
 
 
-def test_short_prefixes_share_buckets(spark, as_large, monkeypatch):
+def test_short_prefixes_share_buckets(spark, monkeypatch):
     monkeypatch.setattr(sampling, "PREFIX_DIGITS", 1)
     rows = flows(spark)
     picked = {(r["Scenario"], r["RowID"]) for r in sampling.proportional_sample(rows, 777).collect()}
@@ -45,7 +45,7 @@ def test_short_prefixes_share_buckets(spark, as_large, monkeypatch):
     assert picked == {(r["Scenario"], r["RowID"]) for r in sampling.proportional_sample(rows, 777).collect()}
 
 
-def test_stratified_split(spark, size):
+def test_stratified_split(spark):
     split = sampling.stratified_split(flows(spark), ["BinaryLabel"], ["Scenario", "RowID"])
     for label in (0, 1):
         n = {r["split"]: r["count"] for r in split.where(F.col("BinaryLabel") == label).groupBy("split").count().collect()}
@@ -87,7 +87,7 @@ def grouped(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [1_000_000, 100])
-def test_grouped_split(spark, size, hot_rows):
+def test_grouped_split(spark, hot_rows):
     rows = grouped(spark)
     split = sampling.grouped_stratified_split(rows, hot_rows=hot_rows)
     assert split.count() == 6000 and split.where("split IS NULL").count() == 0
@@ -130,3 +130,18 @@ def test_coverage(spark):
 def test_class_weights(spark):
     rows = spark.createDataFrame([(0,)] * 3 + [(1,)], "y int")
     assert {r["y"]: r["weight"] for r in sampling.class_weights(rows, "y").collect()} == {0: pytest.approx(4 / 6), 1: 2.0}
+
+
+def test_null_strata_keep_their_rows(spark):
+    df = spark.range(1000).select(F.col("id").alias("RowID"), F.when(F.col("id") % 10 > 0, F.concat(F.lit("s"), F.col("id") % 3)).alias("Scenario"))
+    assert sampling.stratified_split(df, ["Scenario"], ["RowID"]).count() == 1000
+    for size in (1000, 137):
+        assert sampling.proportional_sample(df, size, ids=["RowID"]).count() == size
+
+
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_null_groups_get_a_split(spark, hot_rows):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 97).alias("GroupID"), (F.col("id") % 2).alias("Stratum"))
+    split = sampling.grouped_stratified_split(df, hot_rows=hot_rows)
+    assert split.count() == 1000 and split.where("split IS NULL").isEmpty()
+    assert split.groupBy("GroupID").agg(F.count_distinct("split").alias("n")).where("n <> 1").isEmpty()
