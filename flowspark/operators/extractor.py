@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.functions.numeric import is_coerced, is_infinite, parsed_double
+from flowspark.functions.numeric import cell_is_coerced, cell_is_infinite, parsed_cell
 from flowspark.schema import (
     EXTRACTOR_COLUMNS, EXTRACTOR_CONTEXT, FEATURES, SECONDS_TO_MICROSECONDS, TIME_FEATURES, q,
 )
@@ -45,10 +45,15 @@ def mapping_report(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "position int, feature string, raw_column string, transform string")
 
 
-def _value(feature: str) -> Column:
-    raw = F.col(q(EXTRACTOR_COLUMNS[feature]))
-    number = F.when(~is_infinite(raw), parsed_double(raw))
-    return (number * SECONDS_TO_MICROSECONDS if feature in TIME_FEATURES else number).cast("float")
+def _parsed(df: DataFrame, *others: Column) -> DataFrame:
+    """Other columns and, read once, the cell of every feature as ``_c0``, ``_c1`` …"""
+    return df.select(*others, *[parsed_cell(F.col(q(EXTRACTOR_COLUMNS[f]))).alias(f"_c{k}") for k, f in enumerate(FEATURES)])
+
+
+def _value(position: int) -> Column:
+    cell = F.col(f"_c{position}")
+    number = F.when(~cell_is_infinite(cell) & ~cell_is_coerced(cell), cell)
+    return (number * SECONDS_TO_MICROSECONDS if FEATURES[position] in TIME_FEATURES else number).cast("float")
 
 
 def require_extractor_columns(df: DataFrame) -> None:
@@ -64,20 +69,20 @@ def map_extractor_schema(df: DataFrame, scenario: str, ground_truth: str, row_id
     microseconds; infinite and unreadable cells become null.
     """
     require_extractor_columns(df)
-    return df.select(
-        F.col(row_id).cast("long").alias("RowID"), F.lit(scenario).alias("Scenario"),
-        F.lit(ground_truth).alias("GroundTruth"),
-        *[F.col(q(raw)).alias(name) for raw, name in EXTRACTOR_CONTEXT.items()],
-        *[_value(f).alias(f) for f in FEATURES],
+    context = [F.col(q(raw)).alias(name) for raw, name in EXTRACTOR_CONTEXT.items()]
+    cells = _parsed(df, F.col(row_id).cast("long").alias("RowID"), *context)
+    return cells.select(
+        "RowID", F.lit(scenario).alias("Scenario"), F.lit(ground_truth).alias("GroundTruth"), *EXTRACTOR_CONTEXT.values(),
+        *[_value(k).alias(f) for k, f in enumerate(FEATURES)],
     )
 
 
 def mapping_quality(df: DataFrame) -> DataFrame:
     """Rows, unreadable cells and cells without a value: one row."""
     require_extractor_columns(df)
-    coerced = sum((is_coerced(F.col(q(c))).cast("int") for c in EXTRACTOR_COLUMNS.values()), F.lit(0))
-    gaps = sum((_value(f).isNull().cast("int") for f in FEATURES), F.lit(0))
-    return df.agg(
+    coerced = sum((cell_is_coerced(F.col(f"_c{k}")).cast("int") for k in range(len(FEATURES))), F.lit(0))
+    gaps = sum((_value(k).isNull().cast("int") for k in range(len(FEATURES))), F.lit(0))
+    return _parsed(df).agg(
         F.count("*").alias("model_rows"), F.lit(len(FEATURES)).alias("model_features"),
         F.lit(len(TIME_FEATURES)).alias("time_features_scaled"),
         F.coalesce(F.sum(coerced), F.lit(0)).alias("numeric_coercion_failures"),

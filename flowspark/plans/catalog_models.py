@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from flowspark.operators import iforest, models, profile, sampling, soc
@@ -11,12 +9,11 @@ from flowspark.plans import evaluate, score
 from flowspark.plans.registry import query, r, rounded
 from flowspark.plans.workload import flows, table, with_flows
 from flowspark.schema import OPERATIONAL_FAMILIES
+from flowspark.session import scratch_path
 from flowspark.techniques import default_techniques
 
 FEATURES = ["port", "response", "hour", "syn", "reset", "protocol"]
-SMALL = dict(trees=10, depth=6, iterations=10)
-BINARY = [replace(c, **SMALL) for c in models.BINARY_CANDIDATES]
-FAMILY = [replace(c, **SMALL) for c in models.FAMILY_CANDIDATES]
+BINARY, FAMILY = models.BINARY_CANDIDATES, models.FAMILY_CANDIDATES
 LINEAR, FOREST, BOOSTING = BINARY[1], BINARY[2], BINARY[3]
 
 
@@ -73,7 +70,7 @@ def binary_comparison(spark, sf):
 
 @query("grouped_evaluation")
 def grouped_evaluation(spark, sf):
-    return evaluate.evaluate_grouped(feature_flows(spark, sf), FEATURES, BOOSTING, max_fpr=0.2).metrics
+    return evaluate.evaluate_grouped(feature_flows(spark, sf), FEATURES, BOOSTING).metrics
 
 
 @query("family_evaluation")
@@ -85,8 +82,7 @@ def family_evaluation(spark, sf):
 @query("family_boosting")
 def family_boosting(spark, sf):
     attacks = feature_flows(spark, sf).where(F.col("BinaryLabel") == 1)
-    small = replace(FAMILY[3], iterations=3)
-    detector = models.fit_detector(attacks, small, FEATURES, "OperationalFamily", OPERATIONAL_FAMILIES)
+    detector = models.fit_detector(attacks, FAMILY[3], FEATURES, "OperationalFamily", OPERATIONAL_FAMILIES)
     return models.family_report(models.score_family(detector, attacks))
 
 
@@ -97,7 +93,7 @@ def scenario_holdout(spark, sf):
 
 @query("anomaly_holdout")
 def anomaly_holdout(spark, sf):
-    _, tables = evaluate.evaluate_anomaly(feature_flows(spark, sf), FEATURES, trees=20, max_samples=256)
+    _, tables = evaluate.evaluate_anomaly(feature_flows(spark, sf), FEATURES)
     return tables["metrics"]
 
 
@@ -107,7 +103,7 @@ def forest_scores(spark, sf):
     e = table(spark, sf, "embeddings")
     names = [f"d{i}" for i in range(64)]
     wide = e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
-    forest = iforest.fit_isolation_forest(wide.where(F.col("label") < 5), names, ["vec_id"], trees=50, max_samples=256)
+    forest = iforest.fit_isolation_forest(wide.where(F.col("label") < 5), names, ["vec_id"])
     return forest.score(wide).select("vec_id", "label", "AnomalyScore")
 
 
@@ -122,25 +118,38 @@ def bundle(spark, sf) -> score.Bundle:
     binary = models.fit_detector(f, BOOSTING, FEATURES, "BinaryLabel")
     family = models.fit_detector(f.where(F.col("BinaryLabel") == 1), FAMILY[2], FEATURES, "OperationalFamily", OPERATIONAL_FAMILIES)
     benign = f.where(F.col("BinaryLabel") == 0)
-    forest = iforest.fit_isolation_forest(benign, FEATURES, ["RowID"], trees=20, max_samples=256)
-    iforest.calibrate(forest, benign, 0.05)
+    forest = iforest.fit_isolation_forest(benign, FEATURES, ["RowID"])
+    iforest.calibrate(forest, benign, 0.01)
     return score.Bundle(binary, family, forest, default_techniques(spark))
 
 
+_saved: dict[tuple[str, str], str] = {}
+
+
+def saved_bundle(spark, sf) -> score.Bundle:
+    """The bundle of a folder of tables, fitted and saved once per application and loaded from there."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _saved:
+        path = scratch_path(spark, "bundle")
+        score.save_bundle(spark, bundle(spark, sf), path)
+        _saved[key] = path
+    return score.load_bundle(spark, _saved[key])
+
+
 @query("hybrid_ledger")
 def hybrid_ledger(spark, sf):
-    return score.analyze(feature_flows(spark, sf), bundle(spark, sf))
+    return score.analyze(feature_flows(spark, sf), saved_bundle(spark, sf))
 
 
 @query("hybrid_quality")
 def hybrid_quality(spark, sf):
-    f, b = feature_flows(spark, sf), bundle(spark, sf)
+    f, b = feature_flows(spark, sf), saved_bundle(spark, sf)
     return score.quality_report(f, score.analyze(f, b), b)
 
 
 @query("hybrid_queue")
 def hybrid_queue(spark, sf):
-    return soc.alert_queue(score.analyze(feature_flows(spark, sf), bundle(spark, sf)))
+    return soc.alert_queue(score.analyze(feature_flows(spark, sf), saved_bundle(spark, sf)))
 
 
 @query("readiness_checks", with_flows("""

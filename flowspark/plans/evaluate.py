@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -34,12 +35,18 @@ def _part(df: DataFrame, *names: str) -> DataFrame:
     return df.where(F.col("split").isin(*names))
 
 
+def _fit_sample(split: DataFrame, sample_size: int, name: str) -> DataFrame:
+    """A stored split with all test rows, and of the others a proportional sample of four fifths of `sample_size`."""
+    fitting = sampling.proportional_sample(_part(split, "train", "validation"), round(sample_size * 0.8))
+    return materialize(_part(split, "test").unionByName(fitting), name)
+
+
 def evaluate_binary(flows: DataFrame, features: Sequence[str], sample_size: int = 400_000,
                     candidates: Sequence[Candidate] = tuple(models.BINARY_CANDIDATES)) -> Evaluation:
-    """Proportional sample, 64/16/20 split, pick the best candidate, refit, test once."""
+    """64/16/20 split of all flows, pick the best candidate on a proportional sample of the first two parts, refit, test
+    once on the whole third. `sample_size` bounds the rows used for fitting (four fifths of it), never the test rows."""
     wanted = flows.select(*IDS, "Label", "AttackFamily", "BinaryLabel", *[q(f) for f in features])
-    sample = sampling.proportional_sample(wanted, sample_size)
-    split = materialize(sampling.stratified_split(sample, ["BinaryLabel"], IDS), "binary-sample")
+    split = _fit_sample(sampling.stratified_split(wanted, ["BinaryLabel"], IDS), sample_size, "binary-sample")
     comparison, winner = models.compare_binary(_part(split, "train"), _part(split, "validation"), features, candidates)
     chosen = next(c for c in candidates if c.name == winner)
     detector = models.fit_detector(_part(split, "train", "validation"), chosen, features, "BinaryLabel")
@@ -69,9 +76,9 @@ def with_groups(flows: DataFrame, context: DataFrame, minutes: int = 15, check:
 
 def evaluate_grouped(grouped: DataFrame, features: Sequence[str], candidate: Candidate, sample_size: int = 400_000,
                      max_fpr: float = 0.01) -> Evaluation:
-    """Split by session group, choose the threshold on validation rows, refit, test once."""
-    sample = sampling.proportional_sample(grouped, sample_size)
-    split = materialize(sampling.grouped_stratified_split(sample), "grouped-sample")
+    """Split by session group, choose the threshold on validation rows, refit, test once. `sample_size` bounds the rows
+    used for fitting (four fifths of it), never the test rows."""
+    split = _fit_sample(sampling.grouped_stratified_split(grouped), sample_size, "grouped-sample")
     overlap = sampling.require_isolation(split)
     first = models.fit_detector(_part(split, "train"), candidate, features, "BinaryLabel")
     validation = materialize(models.score_binary(first, _part(split, "validation")), "grouped-validation")
@@ -88,6 +95,7 @@ def evaluate_grouped(grouped: DataFrame, features: Sequence[str], candidate: Can
         models.prediction_ledger(scored, detector.threshold),
         {"sweep": sweep, "distribution": distribution, "coverage": sampling.label_coverage(distribution),
          "histogram": metrics.score_histogram(scored, score="AttackProbability"),
+         "unseen": sampling.unseen_labels(sampling.label_coverage(distribution)),
          "curves": metrics.curve_points(scored, score="AttackProbability")},
     )
 
@@ -137,16 +145,21 @@ def evaluate_holdout(flows: DataFrame, features: Sequence[str], candidate: Candi
     """
     needed = flows.select(*IDS, "Label", "AttackFamily", "BinaryLabel", *[q(f) for f in features])
     pool = materialize(sampling.proportional_sample(needed, pool_size), "holdout-pool")
-    parts = []
+    parts, facts = [], []
     for scenario in scenarios_of(pool):
-        detector = models.fit_detector(pool.where(F.col("Scenario") != scenario), candidate, features, "BinaryLabel")
-        scored = models.score_binary(detector, needed.where(F.col("Scenario") == scenario))
-        parts.append(materialize(scored, "holdout-fold"))
+        train = pool.where(F.col("Scenario") != scenario)
+        started = time.perf_counter()
+        detector = models.fit_detector(train, candidate, features, "BinaryLabel")
+        fitted = time.perf_counter()
+        parts.append(materialize(models.score_binary(detector, needed.where(F.col("Scenario") == scenario)), "holdout-fold"))
+        facts.append((scenario, train.count(), fitted - started, time.perf_counter() - fitted))
+    runs = flows.sparkSession.createDataFrame(
+        facts, "Scenario string, training_rows long, fit_seconds double, prediction_seconds double")
     scored = _folds(parts).withColumn("Threshold", F.lit(float(threshold)))
     ledger = models.prediction_ledger(scored, threshold)
     rates = metrics.detection_rates(ledger, ["Scenario", "Label"])
     return {
-        "metrics": metrics.fold_report(scored, "Scenario", score="AttackProbability"), "ledger": ledger,
+        "metrics": metrics.fold_report(scored, "Scenario", score="AttackProbability"), "ledger": ledger, "runs": runs,
         "label_rates": rates, "family_rates": metrics.detection_rates(ledger, ["Scenario", "AttackFamily"]),
         "label_rollup": metrics.label_rollup(rates, "Label", weighted=False), "errors": ledger.where(~F.col("Correct")),
     }
@@ -168,16 +181,22 @@ def evaluate_anomaly(flows: DataFrame, features: Sequence[str], pool_size: int =
     """Benign-only detector: every scenario held out in turn, then one final model on all."""
     needed = flows.select(*IDS, "Label", "AttackFamily", "BinaryLabel", *[q(f) for f in features])
     pool = materialize(sampling.benign_pool(needed, pool_size), "benign-pool")
-    parts = []
+    parts, facts = [], []
     for scenario in scenarios_of(needed.select("Scenario")):
-        forest, _ = fit_anomaly(pool, features, scenario, fraction, max_fpr, trees, max_samples)
+        forest, observed = fit_anomaly(pool, features, scenario, fraction, max_fpr, trees, max_samples)
+        started = time.perf_counter()
         scored = forest.score(needed.where(F.col("Scenario") == scenario)).drop(*features)
         parts.append(materialize(scored.withColumn("Threshold", F.lit(forest.threshold)), "anomaly-fold"))
+        benign = pool.where(F.col("Scenario") != scenario).count()
+        facts.append((scenario, benign, forest.threshold, observed, time.perf_counter() - started))
     scored = _folds(parts)
+    runs = flows.sparkSession.createDataFrame(
+        facts, "Scenario string, benign_rows long, threshold double, calibration_fpr double, prediction_seconds double")
     flagged = scored.withColumn("PredictedBinaryLabel", (F.col("AnomalyScore") >= F.col("Threshold")).cast("int"))
     rates = metrics.detection_rates(flagged, ["Scenario", "Label"])
     final, _ = fit_anomaly(pool, features, None, fraction, max_fpr, trees, max_samples)
     return final, {
         "metrics": metrics.fold_report(scored, "Scenario", score="AnomalyScore"), "ledger": flagged, "label_rates": rates,
+        "runs": runs, "family_rates": metrics.detection_rates(flagged, ["Scenario", "AttackFamily"]),
         "label_rollup": metrics.label_rollup(rates, "Label", weighted=True),
     }

@@ -202,7 +202,7 @@ def test_evaluation_jobs(data):
     row = grouped.metrics.first()
     assert row["recall_attack"] > 0.6 and grouped.detector.threshold > 0 and grouped.ledger.count() == row["test_rows"]
     binary = evaluate.evaluate_binary(data, FEATURES, 1000, [linear])
-    assert binary.detector.name == linear.name and 190 <= binary.metrics.first()["test_rows"] <= 210
+    assert binary.detector.name == linear.name and binary.metrics.first()["test_rows"] == 240
     folds = evaluate.evaluate_holdout(data, FEATURES, linear, 800)
     assert folds["metrics"].count() == 5 and folds["ledger"].count() == 1200
     assert folds["errors"].count() == folds["metrics"].where("Scenario LIKE 'ALL%'").first()["errors"]
