@@ -2,8 +2,9 @@
 
 Every line has real-valued features (lengths, shares of character classes, repetition); the chain's weights and its
 transitions are fitted by maximum likelihood on lines of labelled documents: those of good documents count as content
-unless they repeat an earlier line of the text, all others as boilerplate. Viterbi decoding marks the lines of each whole text, for all texts of a slice at
-once, and a document is kept if enough of its words lie in content lines and the base rules don't fail it.
+unless they repeat an earlier line of the text, all others as boilerplate. Viterbi decoding marks the lines of each
+whole text, for all texts of a slice at once, and a document is kept if enough of its words lie in content lines and the
+base rules don't fail it.
 """
 
 from __future__ import annotations
@@ -160,7 +161,8 @@ class Chain:
                                    - partition[texts[:q]][:, None, None])
                     seen = onehot[at[:q]][:, :, None] * onehot[at[:q] + 1][:, None, :]
                     pairs += (seen - joint).sum(axis=0)
-            slope = np.r_[(features.T @ (onehot - expected)).ravel(), pairs.ravel()] / len(rows) - np.r_[1e-3 * self.weights.ravel(), MOVE_PENALTY * self.moves.ravel()]
+            penalty = np.r_[1e-3 * self.weights.ravel(), MOVE_PENALTY * self.moves.ravel()]
+            slope = np.r_[(features.T @ (onehot - expected)).ravel(), pairs.ravel()] / len(rows) - penalty
             flat[0] = 0.9 * flat[0] + 0.1 * slope
             flat[1] = 0.99 * flat[1] + 0.01 * slope**2
             change = 0.1 * (flat[0] / (1 - 0.9**step)) / (np.sqrt(flat[1] / (1 - 0.99**step)) + 1e-8)
@@ -214,18 +216,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Chain |
         return [pa.array(values, pa.list_(pa.float64()))]
 
     fields = T.StructType([T.StructField("line_features", T.ArrayType(T.DoubleType()))])
-    sample = with_columns(texts, fields, compute).select("doc_id", "quality", "line_features").where(
-        F.size("line_features") > 0).orderBy(F.xxhash64("doc_id"), "line_features").limit(fit_docs * 2).collect()
+    lines = with_columns(texts, fields, compute).where(F.size("line_features") > 0).dropDuplicates(["doc_id"])
+    sample = lines.select("doc_id", "quality", "line_features").orderBy(F.xxhash64("doc_id")).collect()  # about fit_docs rows
     width = len(CLASSES) + 6
-    features, states, rows, lines = [], [], [], 0
+    features, states, rows, used = [], [], [], 0
     for row in sample:
         block = np.array(row["line_features"]).reshape(-1, width)
-        if lines + len(block) > FIT_LINES:
+        if used + len(block) > FIT_LINES:
             continue
         features.append(block)
         states.append(((row["quality"] > 0) & (block[:, DUPLICATE] == 0)).astype(int))
         rows.append(np.full(len(block), len(rows)))
-        lines += len(block)
+        used += len(block)
     if not features or len(np.unique(np.concatenate(states))) < 2:
         return None
     return Chain(width).fit(np.concatenate(features), np.concatenate(states), np.concatenate(rows), len(rows))

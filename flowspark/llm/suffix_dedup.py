@@ -251,8 +251,8 @@ def compare_contexts(size: int):
             for k, mask in zip(several, repeated_strings([contexts[k] for k in several], weights[several], size)):
                 masks[k] = mask
         some = np.flatnonzero([m.any() for m in masks])
-        return pa.RecordBatch.from_arrays([table.column(0).take(pa.array(some)).combine_chunks(), table.column(1).take(pa.array(some)).combine_chunks(),
-                                           runs_array([masks[k] for k in some])], names=FOUND_SCHEMA.names)
+        keys = [table.column(k).take(pa.array(some)).combine_chunks() for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*keys, runs_array([masks[k] for k in some])], names=FOUND_SCHEMA.names)
 
     def run(batches):
         held, held_bytes = [], 0

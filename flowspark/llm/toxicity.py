@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clea
     limits = [int(min(1, most / counts[bad]) * (1 << 30)) + 1 for bad, most in ((True, fit_toxic), (False, fit_clean))]
     chosen = known.where(place < F.when(F.col("toxic") > 0, limits[0]).otherwise(limits[1]))  # about fit_toxic + fit_clean ids
     texts = docs.select("doc_id", "text").where(F.length("text").between(1, fit_chars)).join(F.broadcast(chosen), "doc_id")
-    sample = texts.select(F.xxhash64("text").alias("place"), "text", (F.col("toxic") > 0).alias("bad")).collect()
+    sample = texts.select(F.xxhash64("text").alias("place"), "text", (F.col("toxic") > 0).alias("bad")).distinct().collect()
     sample.sort(key=lambda r: (r["place"], r["text"]))
     return fit_texts([r["text"] for r in sample], np.array([r["bad"] for r in sample]), counts[True] / sum(counts.values()))
 

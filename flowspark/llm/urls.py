@@ -72,7 +72,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, fit_rows
 
     Needs url; all rows and columns are kept, columns of the five names replaced. A null url or one without `://` has
     empty host and path, and the trees judge it. The trees learn from at most about `fit_rows` URLs that rules label,
-    chosen by a hash of the url; where the rules give one label only, that label is the verdict, without any it is
+    chosen by a hash of the url, each once; where the rules give one label only, that label is the verdict, without any it is
     allow. Repeated rows get equal verdicts; an empty table gives no rows.
     """
     rules = RULES if rules is None else rules
@@ -89,7 +89,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, fit_rows
     else:
         buckets = 1 << 20
         sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(buckets)) < int(buckets * min(1, fit_rows / total)) + 1)
-        sample = sample.drop("_row", "url").persist()
+        sample = sample.drop("_row").dropDuplicates(["url"]).persist()  # a repeated url counts once
         # Suffixes and endings with 20 sampled URLs: at most fit_rows / 20 rows each.
         tables = [F.broadcast(blocked_share(sample, key)) for key in ("suffix", "ending")]
         average = blocked / total
@@ -102,7 +102,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, fit_rows
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
         trees = GBTClassifier(maxIter=20, maxDepth=4, seed=7, featuresCol="features", labelCol="label")
         model = trees.fit(assemble.transform(with_statistics(sample)).select("features", "label"))
-        sample.unpersist()
         scored = model.transform(assemble.transform(with_statistics(ruled))).withColumn(
             "block_score", vector_to_array("probability")[1])
     by_trees = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
