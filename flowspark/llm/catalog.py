@@ -121,6 +121,38 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_components(docs, similarity=0.85).drop("row_key")
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op8_decontaminate"] = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+tests AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+cut AS (SELECT item, words, least(len(words), 13) AS size, unnest(range(1, greatest(2, len(words) - 11))) AS k FROM tests WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item, size, array_to_string(words[k : k + size - 1], ' ') AS win FROM cut),
+places AS (SELECT doc_id, words, s.size, unnest(range(1, len(words) - s.size + 2)) AS k FROM docs, (SELECT DISTINCT size FROM windows) s),
+hits AS (SELECT p.doc_id, p.k, p.size, w.item FROM places p JOIN windows w
+  ON w.size = p.size AND w.win = array_to_string(p.words[p.k : p.k + p.size - 1], ' ')),
+hit_words AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM hits) GROUP BY 1),
+hit_items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY 1)
+SELECT d.doc_id, len(d.words) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(len(i.items), 0) AS n_items,
+  sha256(coalesce(array_to_string(i.items, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.words) AS contaminated
+FROM docs d LEFT JOIN hit_words h ON h.doc_id = d.doc_id LEFT JOIN hit_items i ON i.doc_id = d.doc_id
+"""
+
+SQL["op9_near_duplicates"] = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x09-\x0D\x20]+') AS words FROM documents),
+places AS (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS k FROM docs WHERE len(words) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(words[k : k + 4], ' ') AS shingle FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.seen),
+found AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY 1)
+SELECT f.doc_id, coalesce(s.n, 0) AS n_shingles, f.component_id, f.doc_id = f.component_id AS kept
+FROM found f LEFT JOIN sizes s ON s.doc_id = f.doc_id
+"""
+
+
 @query
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents")).drop("curve")
