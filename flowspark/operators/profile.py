@@ -14,7 +14,8 @@ from flowspark.functions.numeric import (
 )
 from flowspark.functions.times import parse_mixed_timestamp
 from flowspark.schema import (
-    ALIGNMENT_COLUMNS, INFINITY_TOKENS, clean_header, find_label_column, q, repeated_names, resolve_alias,
+    ALIGNMENT_COLUMNS, CHECK_CONTEXT_USABLE, CHECK_FEATURES_PRESENT, CHECK_IMPUTATION, CHECK_INVALID_CONTEXT, CHECK_NAMES,
+    CHECK_NO_DUPLICATES, CHECK_UNUSABLE, INFINITY_TOKENS, clean_header, find_label_column, q, repeated_names, resolve_alias,
 )
 from flowspark.session import beside
 
@@ -349,25 +350,25 @@ def validation_checks(report: DataFrame) -> DataFrame:
 
     missing, unusable = F.size("missing_required_features"), F.size("unusable_required_features")
     schema_detail = F.concat(
-        F.concat_ws("/", "present_required_features", "required_feature_count"), F.lit(" required features present"),
+        F.concat_ws("/", "present_required_features", "required_feature_count"), F.lit(CHECK_FEATURES_PRESENT),
         F.when(missing > 0, F.concat(F.lit("; "), missing, F.lit(" missing"))).otherwise(""),
-        F.when(unusable > 0, F.concat(F.lit("; "), unusable, F.lit(" contain no usable numbers"))).otherwise(""),
+        F.when(unusable > 0, F.concat(F.lit("; "), unusable, F.lit(CHECK_UNUSABLE))).otherwise(""),
     )
     context_detail = (
-        F.when(F.col("cross_flow_ready"), "Source IP, destination IP, timestamp, destination port, and SYN count are usable")
+        F.when(F.col("cross_flow_ready"), CHECK_CONTEXT_USABLE)
         .when(F.size("missing_cross_flow_context") > 0, F.concat(F.lit("Missing: "), F.array_join("missing_cross_flow_context", ", ")))
-        .otherwise(F.concat(F.lit("Invalid or blank context values: "), number("invalid_context_values")))
+        .otherwise(F.concat(F.lit(CHECK_INVALID_CONTEXT), number("invalid_context_values")))
     )
     duplicated = F.size("duplicate_columns") > 0
     checks = F.array(
-        check(1, "Data rows", F.when(F.col("rows") > 0, "PASS").otherwise("FAIL"), F.concat(number("rows"), F.lit(" rows loaded"))),
-        check(2, "Column-name integrity", F.when(duplicated, "FAIL").otherwise("PASS"),
+        check(1, CHECK_NAMES[0], F.when(F.col("rows") > 0, "PASS").otherwise("FAIL"), F.concat(number("rows"), F.lit(" rows loaded"))),
+        check(2, CHECK_NAMES[1], F.when(duplicated, "FAIL").otherwise("PASS"),
               F.when(duplicated, F.concat(F.lit("Duplicates: "), F.array_join("duplicate_columns", ", ")))
-              .otherwise("No duplicate names after BOM/whitespace cleanup")),
-        check(3, "Trained model schema", F.when((missing > 0) | (unusable > 0), "FAIL").otherwise("PASS"), schema_detail),
-        check(4, "Numeric feature quality",
+              .otherwise(CHECK_NO_DUPLICATES)),
+        check(3, CHECK_NAMES[2], F.when((missing > 0) | (unusable > 0), "FAIL").otherwise("PASS"), schema_detail),
+        check(4, CHECK_NAMES[3],
               F.when(F.col("missing_feature_cells_after_coercion") == 0, "PASS").otherwise("WARNING"),
-              F.concat(number("missing_feature_cells_after_coercion"), F.lit(" feature cells require training-time imputation"))),
-        check(5, "Dynamic cross-flow context", F.when(F.col("cross_flow_ready"), "PASS").otherwise("NOT READY"), context_detail),
+              F.concat(number("missing_feature_cells_after_coercion"), F.lit(CHECK_IMPUTATION))),
+        check(5, CHECK_NAMES[4], F.when(F.col("cross_flow_ready"), "PASS").otherwise("NOT READY"), context_detail),
     )
     return report.select(F.inline(checks))

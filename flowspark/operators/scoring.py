@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.schema import ALERT_VIEW, LEDGER_CONTEXT, LEDGER_PREDICTIONS, q
+from flowspark.schema import (
+    ALERT_VIEW, LEDGER_CONTEXT, LEDGER_PREDICTIONS, REASON_ANOMALY, REASON_BOTH, REASON_KNOWN, REASON_NONE, q,
+)
 from flowspark.session import lookup_join
 
 FALLBACK_FAMILY = "Other Malicious"
@@ -23,10 +25,10 @@ def severity(known: Column, anomaly: Column) -> Column:
 
 def reason(known: Column, anomaly: Column) -> Column:
     return (
-        F.when(known & anomaly, "Known attack pattern and anomalous relative to benign behavior")
-        .when(known, "Known supervised attack pattern")
-        .when(anomaly, "Unusual relative to the learned benign profile")
-        .otherwise("No known attack pattern and no anomaly flag")
+        F.when(known & anomaly, REASON_BOTH)
+        .when(known, REASON_KNOWN)
+        .when(anomaly, REASON_ANOMALY)
+        .otherwise(REASON_NONE)
     )
 
 

@@ -87,6 +87,21 @@ OPERATIONAL_FAMILIES = [
 # Severity levels from worst to mildest.
 SEVERITIES = ["Critical", "High", "Medium", "Low"]
 
+# Reasons that the ledger states, by known attack pattern and anomaly.
+REASON_BOTH = "Known attack pattern and anomalous relative to benign behavior"
+REASON_KNOWN = "Known supervised attack pattern"
+REASON_ANOMALY = "Unusual relative to the learned benign profile"
+REASON_NONE = "No known attack pattern and no anomaly flag"
+
+# Names of the readiness checks and the sentences they may state.
+CHECK_NAMES = ["Data rows", "Column-name integrity", "Trained model schema", "Numeric feature quality", "Dynamic cross-flow context"]
+CHECK_CONTEXT_USABLE = "Source IP, destination IP, timestamp, destination port, and SYN count are usable"
+CHECK_NO_DUPLICATES = "No duplicate names after BOM/whitespace cleanup"
+CHECK_IMPUTATION = " feature cells require training-time imputation"
+CHECK_FEATURES_PRESENT = " required features present"
+CHECK_UNUSABLE = " contain no usable numbers"
+CHECK_INVALID_CONTEXT = "Invalid or blank context values: "
+
 # Training feature -> column name written by the live flow extractor, in training order.
 EXTRACTOR_COLUMNS = {
     "Destination Port": "dst_port",
@@ -177,8 +192,12 @@ EXTRACTOR_CONTEXT = {
     "timestamp": "Timestamp",
 }
 
-# The extractor reports these prefixes in seconds, the training schema in microseconds.
-TIME_FEATURE_PREFIXES = ("Flow Duration", "Flow IAT", "Fwd IAT", "Bwd IAT", "Active ", "Idle ")
+# Features that the extractor reports in seconds and the training schema holds in microseconds.
+TIME_FEATURES = [
+    "Flow Duration", "Flow IAT Mean", "Flow IAT Std", "Flow IAT Max", "Flow IAT Min", "Fwd IAT Total", "Fwd IAT Mean",
+    "Fwd IAT Std", "Fwd IAT Max", "Fwd IAT Min", "Bwd IAT Total", "Bwd IAT Mean", "Bwd IAT Std", "Bwd IAT Max",
+    "Bwd IAT Min", "Active Mean", "Active Std", "Active Max", "Active Min", "Idle Mean", "Idle Std", "Idle Max", "Idle Min",
+]
 SECONDS_TO_MICROSECONDS = 1_000_000.0
 
 # Logical column -> accepted physical names, in order of preference.
@@ -226,7 +245,6 @@ ALERT_VIEW = [
 # --------------------------------------------------------------------------------------
 
 FEATURES = list(EXTRACTOR_COLUMNS)
-TIME_FEATURES = [f for f in FEATURES if f.startswith(TIME_FEATURE_PREFIXES)]
 
 
 def q(name: str) -> str:
