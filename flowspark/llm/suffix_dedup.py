@@ -35,6 +35,7 @@ FILTER_PARTS = 64
 SHARD_BYTES = 64 << 10
 TASK_BYTES = 512 << 10
 CROWDED = 4_000
+CONTEXT_SLICE = 4 << 20  # a context's bytes go along once a slice
 
 LONG = T.LongType()
 ANCHOR_FIELDS = T.StructType([T.StructField("anchors", T.ArrayType(LONG))])
@@ -137,8 +138,8 @@ def contexts_of(docs: DataFrame, size: int) -> DataFrame:
         return [pa.ListArray.from_arrays(pa.array(bounds), values)]
 
     keyed = docs.select(row_key("doc_id", "text").alias("row_key"), "text")
-    rows = with_columns(keyed, CONTEXT_FIELDS, compute).select("row_key", F.inline("contexts"))
-    return materialize(rows, "contexts")
+    rows = with_columns(keyed, CONTEXT_FIELDS, compute, limit=CONTEXT_SLICE).select("row_key", F.inline("contexts"))
+    return materialize(rows, "contexts", "zstd")
 
 
 def stable_order(values: np.ndarray) -> np.ndarray:
@@ -309,7 +310,7 @@ def repeated_runs(docs: DataFrame, size: int) -> DataFrame:
     """For each row_key the runs of strings that occur elsewhere: lists of (first, count)."""
     occurrences = contexts_of(docs, size)
     contexts = materialize(occurrences.groupBy("anchor", "context").agg(
-        F.count("*").alias("weight"), F.first("bytes", ignorenulls=True).alias("bytes")), "weighted")
+        F.count("*").alias("weight"), F.first("bytes", ignorenulls=True).alias("bytes")), "weighted", "zstd")
     crowded = contexts.groupBy("anchor").count().where(f"count > {CROWDED}").select("anchor")
     crowded = materialize(crowded, "crowded")
     if crowded.isEmpty():
