@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowspark.operators import profile, sampling
+from flowspark.functions.numeric import ratio
+from flowspark.operators import sampling
 from flowspark.plans.registry import query, r, rounded
 from flowspark.plans.workload import flows, table, with_flows
 
@@ -111,10 +113,10 @@ FROM assigned GROUP BY 1, 2"""))
 def split_balance(spark, sf):
     rows = flows(spark, sf).select("GroupID", "Stratum")
     assigned = sampling.assign_groups(sampling.group_table(rows, "GroupID", "Stratum"), "GroupID", "Stratum")
-    counts = profile.label_counts(assigned.select("Stratum", "split", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-                                  , ["Stratum"], "split")
-    return rounded(counts.select(F.col("Stratum").alias("stratum"), "split", F.col("count").alias("row_count"),
-                                 (F.col("percentage") / 100).alias("share")), "share")
+    counts = assigned.groupBy("Stratum", "split").agg(F.sum("rows").alias("row_count"))
+    total = F.sum("row_count").over(Window.partitionBy("Stratum"))
+    return rounded(counts.select(F.col("Stratum").alias("stratum"), "split", "row_count", ratio(F.col("row_count"), total, 0.0).alias("share")),
+                   "share")
 
 
 @query("split_distribution", with_flows(GROUPED_SQL + """

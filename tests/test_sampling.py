@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.operators import sampling
+from flowspark.plans import catalog_sampling
 
 
 def flows(spark, n=3000):
@@ -145,3 +146,15 @@ def test_null_groups_get_a_split(spark, hot_rows):
     split = sampling.grouped_stratified_split(df, hot_rows=hot_rows)
     assert split.count() == 1000 and split.where("split IS NULL").isEmpty()
     assert split.groupBy("GroupID").agg(F.count_distinct("split").alias("n")).where("n <> 1").isEmpty()
+
+
+def test_split_balance_sums_the_sizes_of_huge_groups(spark, monkeypatch):
+    sizes = [("hot", "x", 5_000_000_000), *[(f"g{i}", "y", 3_000_000_000 + i) for i in range(50)]]
+    groups = spark.createDataFrame(sizes, "GroupID string, Stratum string, rows long")
+    monkeypatch.setattr(catalog_sampling, "flows", lambda spark, sf: groups)
+    monkeypatch.setattr(sampling, "group_table", lambda rows, group, stratum: groups)
+    got = catalog_sampling.split_balance(spark, "").collect()
+    assert {r["split"]: (r["row_count"], r["share"]) for r in got if r["stratum"] == "x"} == {"train": (5_000_000_000, 1.0)}
+    others = [r for r in got if r["stratum"] == "y"]
+    assert sum(r["row_count"] for r in others) == sum(n for _, s, n in sizes if s == "y")
+    assert all(r["share"] == pytest.approx(r["row_count"] / 150_000_001_225, abs=1e-6) for r in others)
