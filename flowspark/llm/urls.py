@@ -1,7 +1,8 @@
 """URL filters: the longest fitting host and path rule decides, gradient-boosted trees judge the rest.
 
 The trees see lexical features only (lengths, depths, digit ratio, entropy, parameter counts and how often URLs with the
-same suffix are blocked) and learn from the URLs that the rules label, on a sample of bounded size.
+same suffix are blocked). Suffixes and endings are counted over all URLs that the rules label; the trees are fitted on a
+sample of these of bounded size.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.session import lookup_join, materialize
+
 #: Rule text and verdict; a rule fits its host and all subdomains below its path.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
          ("net/fr/", "block")]
@@ -60,9 +63,17 @@ def lexical(df: DataFrame) -> DataFrame:
     })
 
 
-def blocked_share(labelled: DataFrame, key: str) -> DataFrame:
+def label_counts(labelled: DataFrame) -> DataFrame:
+    """By suffix and ending: labelled URLs (n) and blocked ones, each url once, and the rows of both."""
+    urls = labelled.groupBy("url", "suffix", "ending", "label").agg(F.count("*").alias("rows"))
+    return urls.groupBy("suffix", "ending").agg(
+        F.count("*").alias("n"), F.sum("label").alias("blocked"), F.sum("rows").alias("rows"),
+        F.sum(F.col("label") * F.col("rows")).alias("blocked_rows"))
+
+
+def blocked_share(counts: DataFrame, key: str) -> DataFrame:
     """Smoothed share of blocked URLs by key; a key with fewer than 20 labelled URLs is left to the average."""
-    return labelled.groupBy(key).agg(F.count("*").alias("n"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias(
+    return counts.groupBy(key).agg(F.sum("n").alias("n"), ((F.sum("blocked") + 1) / (F.sum("n") + 2)).alias(
         f"{key}_blocked")).where("n >= 20").drop("n")
 
 
@@ -72,7 +83,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, fit_rows
 
     Needs url; all rows and columns are kept, columns of the five names replaced. A null url or one without `://` has
     empty host and path, and the trees judge it. The trees learn from at most about `fit_rows` URLs that rules label,
-    chosen by a hash of the url, each once; where the rules give one label only, that label is the verdict, without any it is
+    chosen by a hash of the url, each once; how often a suffix or ending is blocked is counted over all of them; where the rules give one label only, that label is the verdict, without any it is
     allow. Repeated rows get equal verdicts; an empty table gives no rows.
     """
     rules = RULES if rules is None else rules
@@ -82,7 +93,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, fit_rows
     split = kept.withColumns({"host": host, "path": path})
     ruled = lexical(split.withColumn("match", matched_rule(rules, F.col("host"), F.col("path"))))
     labelled = ruled.where("match IS NOT NULL").withColumn("label", (F.col("match.verdict") == "block").cast("double"))
-    total, blocked = labelled.agg(F.count("*"), F.sum("label")).first()
+    counts = materialize(label_counts(labelled), "url-counts")
+    total, blocked = counts.agg(F.sum("rows"), F.sum("blocked_rows")).first()
     if not total or blocked in (0, total):
         only = "block" if total and blocked else "allow"
         scored = ruled.withColumn("block_score", F.lit(float(only == "block")))
@@ -90,13 +102,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, fit_rows
         buckets = 1 << 20
         sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(buckets)) < int(buckets * min(1, fit_rows / total)) + 1)
         sample = sample.drop("_row").dropDuplicates(["url"]).persist()  # a repeated url counts once
-        # Suffixes and endings with 20 sampled URLs: at most fit_rows / 20 rows each.
-        tables = [F.broadcast(blocked_share(sample, key)) for key in ("suffix", "ending")]
         average = blocked / total
 
         def with_statistics(df: DataFrame) -> DataFrame:
-            for key, statistic in zip(("suffix", "ending"), tables):
-                df = df.join(statistic, key, "left")
+            for key in ("suffix", "ending"):
+                df = lookup_join(df, blocked_share(counts, key), [key], "left")
             return df.fillna(average, ["suffix_blocked", "ending_blocked"])
 
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")

@@ -134,6 +134,22 @@ def test_url_query_covers_all_pages(spark):
     assert sorted(r.page_id for r in rows) == sorted(r.page_id for r in pages.select("page_id").collect())
 
 
+def test_url_statistics_count_all_labelled_urls(spark, monkeypatch):
+    rows = [f"http://h{k}.{'net' if k % 4 else 'com'}/{k}{'.html' if k % 3 else '.php'}" for k in range(240)] + ["http://h1.net/1.html"] * 50
+    found, shares = {}, urls.blocked_share
+
+    def watched(df, key):
+        found[key] = {r[key]: r[f"{key}_blocked"] for r in shares(df, key).collect()}
+        return shares(df, key)
+
+    monkeypatch.setattr(urls, "blocked_share", watched)
+    pages = spark.createDataFrame([(u,) for u in rows], "url string")
+    judged = urls.judge(pages, [("net/", "block"), ("com/", "allow")], fit_rows=60)
+    assert judged.count() == len(rows)
+    assert found["suffix"] == {"net": 181 / 182, "com": 1 / 62}
+    assert found["ending"] == {".html": 121 / 162, ".php": 61 / 82}
+
+
 def test_lexical_features(spark):
     page = spark.createDataFrame([("http://ab.com/a1/b2.html?x=1&y=2#f",)], "url string")
     host, path = urls.host_and_path(page.url)
