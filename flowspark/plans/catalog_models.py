@@ -9,7 +9,7 @@ from flowspark.plans import evaluate, score
 from flowspark.plans.registry import query, r, rounded
 from flowspark.plans.workload import flows, table, with_flows
 from flowspark.schema import OPERATIONAL_FAMILIES
-from flowspark.session import scratch_path
+from flowspark.session import materialize, scratch_path
 from flowspark.techniques import default_techniques
 
 FEATURES = ["port", "response", "hour", "syn", "reset", "protocol"]
@@ -76,14 +76,18 @@ def grouped_evaluation(spark, sf):
 @query("family_evaluation")
 def family_evaluation(spark, sf):
     attacks = evaluate.attack_population(feature_flows(spark, sf))
-    return evaluate.evaluate_family(attacks, FEATURES, candidates=FAMILY[:3]).tables["report"]
+    return evaluate.evaluate_family(attacks, FEATURES, candidates=FAMILY).tables["report"]
 
 
 @query("family_boosting")
 def family_boosting(spark, sf):
     attacks = feature_flows(spark, sf).where(F.col("BinaryLabel") == 1)
-    detector = models.fit_detector(attacks, FAMILY[3], FEATURES, "OperationalFamily", OPERATIONAL_FAMILIES)
-    return models.family_report(models.score_family(detector, attacks))
+    divided, _ = sampling.grouped_split_all_classes(attacks)
+    split = materialize(divided, "boosting-split")
+    sampling.require_isolation(split)
+    train, test = split.where(F.col("split") != "test"), split.where(F.col("split") == "test")
+    detector = models.fit_detector(train, FAMILY[3], FEATURES, "OperationalFamily", OPERATIONAL_FAMILIES)
+    return models.family_report(models.score_family(detector, test))
 
 
 @query("scenario_holdout")

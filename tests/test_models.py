@@ -1,3 +1,4 @@
+import os
 from dataclasses import replace
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.operators import iforest, models, scoring, soc
-from flowspark.plans import evaluate, preprocess, score
+from flowspark.plans import catalog_models, evaluate, preprocess, score
 from flowspark.schema import OPERATIONAL_FAMILIES, SEVERITIES
 from flowspark.streaming.incremental import score_new_files
 from flowspark.techniques import default_techniques
@@ -243,3 +244,22 @@ def test_preprocessing_and_audit(spark, tmp_path):
     assert tables["schema_presence"].where("NOT present_in_all_files").count() == 0
     with pytest.raises(ValueError, match="order"):
         preprocess.preprocess_features(spark, features, ["x"])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables absent")
+def test_family_queries_try_all_candidates_and_test_on_other_groups(spark, monkeypatch):
+    seen = {}
+
+    def watched(attacks, features, candidates=models.FAMILY_CANDIDATES):
+        seen["kinds"] = [c.kind for c in candidates]
+        return evaluate.Evaluation(None, None, None, {"report": None})
+
+    monkeypatch.setattr(evaluate, "evaluate_family", watched)
+    catalog_models.family_evaluation(spark, "/root/testdata/sf0.001")
+    assert seen["kinds"] == ["prior", "linear", "forest", "boosting"]
+    monkeypatch.setattr(models, "fit_detector", lambda df, *others: seen.update(fit=df))
+    monkeypatch.setattr(models, "score_family", lambda detector, df: df)
+    monkeypatch.setattr(models, "family_report", lambda df: df)
+    test = catalog_models.family_boosting(spark, "/root/testdata/sf0.001")
+    groups = [{r[0] for r in df.select("GroupID").distinct().collect()} for df in (seen["fit"], test)]
+    assert all(groups) and not groups[0] & groups[1]
