@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import bpe, decontaminate, language, line_dedup, near_dup, quality, sharding, suffix_dedup, toxicity, urls
+from flowspark.llm import (
+    bpe, decontaminate, language, line_dedup, near_dup, packing, periodic_runs, prefix_trie, quality, sharding, suffix_dedup, toxicity, urls,
+)
 from flowspark.llm.common import held_out
+from flowspark.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,3 +159,57 @@ FROM found f LEFT JOIN sizes s ON s.doc_id = f.doc_id
 @query
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents")).drop("curve")
+
+
+@query
+def op11_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.cut_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ids=False))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) of which a tenth repeat a block of their words up to the end, as the contract of op12 says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    chosen = docs.withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
+    n = F.size("w")
+    sized = chosen.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn(
+        "p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    rest = n - F.col("a")
+    block = F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))
+    repeated = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(F.flatten(block), F.lit(1), rest))
+    return sized.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    no_run = F.expr("CAST(NULL AS struct<start:bigint,length:bigint,period:bigint>)")
+    # runs come by start and period, so the first of those with equal exponents stays
+    best = F.aggregate("runs", no_run, lambda b, r: F.when(
+        b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(told.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def rebuilt(convs: DataFrame) -> DataFrame:
+    """Conversations (conv_id, seq) as the contract of op13 rebuilds them: the head of every fifth one stands before others."""
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    first = F.col("conv_id") - F.col("conv_id") % 5
+    heads = convs.where("conv_id % 5 = 0").select(F.col("conv_id").alias("first"), F.slice("seq", 1, 8).alias("head"))
+    head = F.coalesce(F.slice("head", F.lit(1), h), F.slice("seq", 1, 0))
+    return convs.withColumn("first", first).join(heads, "first", "left").select(
+        "conv_id", F.concat(head, F.slice("seq", h + 1, F.greatest(F.size("seq") - h, F.lit(0)))).alias("seq"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = materialize(prefix_trie.conversations(table(spark, sf_dir, "conversations")), "conversations")
+    nodes, members = prefix_trie.trie(rebuilt(convs))
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens")]
+    digests = prefix_trie.ids_digest(members)
+    ended = nodes.where("seq_key IS NOT NULL").join(digests, "seq_key").select(*columns, "ends_sha256")
+    return ended.union(nodes.where("seq_key IS NULL").select(*columns, F.sha2(F.lit(b""), 256).alias("ends_sha256")))

@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import public_tokenizers
 import tiktoken
@@ -128,3 +129,76 @@ def crc(text):
 
 def held_out(doc):
     return doc is not None and zlib.crc32(str(doc).encode()) % 4 == 2
+
+
+def planted_words(doc, text):
+    """Words of a document, every tenth document repeating a block of them up to its end."""
+    words = spaced_words(text)
+    n, h = len(words), zlib.crc32(str(doc).encode()) if doc is not None else 1
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def periodic_runs(words, min_length=6, min_exponent=4):
+    """Maximal runs by comparing every word with the one a period before it."""
+    out = []
+    for q in range(1, len(words) // min_exponent + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            run = words[i: j + q]
+            smallest = all(any(run[k] != run[k + p] for k in range(len(run) - p)) for p in range(1, q))
+            if j > i and len(run) >= max(min_length, min_exponent * q) and smallest:
+                out.append((i, len(run), q))
+            i = max(j, i + 1)
+    return sorted(out)
+
+
+def run_facts(doc, text):
+    words = planted_words(doc, text)
+    runs = periodic_runs(words)
+    gone = {k for s, n, p in runs for k in range(s + p, s + n)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None,) * 3
+    kept = " ".join(w for k, w in enumerate(words) if k not in gone)
+    return (doc, len(runs), *best, 1000 * best[1] // best[2] if runs else None,
+            sha("".join(f"{s},{n},{p}\n" for s, n, p in runs).encode()), sha(kept.encode()))
+
+
+def rebuilt_conversations(rows):
+    """conv_id to its turns (role, text), the head of every fifth conversation put before others."""
+    own = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        if conv is not None:
+            own.setdefault(conv, []).append((role or "", text or ""))
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = own.get(c - c % 5, [])[:h] + turns[h:]
+    return out
+
+
+def trie_nodes(convs):
+    """Every node of the trie over conversations (conv_id to turns), by listing all prefixes."""
+    nodes = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(tuple(turns[:d]), []).append(c)
+    children = Counter(p[:-1] for p in nodes if p)
+    leaves, saved = Counter(), Counter()
+    for p, members in nodes.items():
+        gain = (len(members) - 1) * len(p[-1][1].encode()) if p else 0
+        for d in range(len(p) + 1):
+            saved[p[:d]] += gain
+            leaves[p[:d]] += not children[p]
+    out = []
+    for p, members in nodes.items():
+        ends = sorted(c for c in members if len(convs[c]) == len(p))
+        out.append((min(members), len(p), min(nodes[p[:-1]]) if p else None, len(members), children[p], leaves[p], saved[p],
+                    sha(",".join(map(str, ends)).encode())))
+    return out
