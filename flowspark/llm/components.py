@@ -1,9 +1,11 @@
 """Connected components of a graph given as edges, by repeated contraction.
 
-Each round every node points to its least neighbour if that is less than itself, edges are relabelled by these pointers
-and deduplicated, and inner edges vanish; when none is left, composing the rounds' pointers gives each node the least
-node of its component. Rounds grow with the logarithm of a component's diameter. Only keyed aggregations and joins are
-used (adaptive execution splits the joins of crowded nodes); every round is written to the shared folder.
+Each round every node points to its least neighbour if that is less than itself. The pointers form trees, and pointer
+jumping (every node takes its target's target until no target moves) brings each node to its tree's root in as many steps as
+the logarithm of the tree's depth, so a chain in ascending order is one round. Then edges are relabelled by the roots and
+deduplicated, and inner edges vanish; when none is left, composing the rounds' pointers gives each node the least node
+of its component. Only keyed aggregations and joins are used (adaptive execution splits the joins of crowded nodes);
+every step is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        pointers = materialize(both.groupBy("a").agg(F.min("b").alias("to")).select(
-            F.col("a").alias("node"), F.least("a", "to").alias("to")), "pointers")
+        pointers = tree_roots(both.groupBy("a").agg(F.min("b").alias("to")).select(
+            F.col("a").alias("node"), F.least("a", "to").alias("to")))
         rounds.append(pointers)
         left = pointers.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = pointers.select(F.col("node").alias("b"), F.col("to").alias("y"))
@@ -35,3 +37,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         later = roots.select(F.col("node").alias("to"), "root")
         roots = materialize(pointers.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")), "roots")
     return roots
+
+
+def tree_roots(pointers: DataFrame) -> DataFrame:
+    """(node, to) where `to` is the root that following the pointers ends at; a root points to itself, others to less."""
+    pointers = materialize(pointers, "pointers")
+    while True:
+        following = pointers.where("to < node").select(F.col("node").alias("to"), F.col("to").alias("further"))
+        moves = pointers.join(following, "to")  # only nodes whose target is no root
+        if moves.isEmpty():
+            return pointers
+        jumped = pointers.join(following, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
+        pointers = materialize(jumped, "pointers")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.llm.common import row_key, text_of, utf8, with_columns
-from flowspark.llm.textops import BYTE_CODES, OTHER_CODES, SPACED, lines_of, mix, span_hashes, spans_where
+from flowspark.llm.textops import SPACED, lines_of, mix, span_ids, spans_where
 from flowspark.session import materialize
 
 MIN_LINES = 2
@@ -72,8 +72,7 @@ def suffixes(docs: DataFrame, min_lines: int, long_line_words: int) -> DataFrame
         data, starts, ends, rows, words = filled_lines(batch)
         long_lines = np.flatnonzero(words >= long_line_words) if min_lines > 1 else np.zeros(0, np.int64)
         names = []
-        for codes in (BYTE_CODES, OTHER_CODES):
-            ids = span_hashes(data, starts, ends, codes)
+        for ids in span_ids(data, starts, ends):
             runs, fits = run_names(ids, rows, min_lines)
             names.append(np.concatenate([runs[fits], ids[long_lines]]).view(np.int64))
         at = np.concatenate([np.flatnonzero(fits), long_lines])

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from flowspark.llm.common import row_key, text_of, utf8, with_columns
 from flowspark.llm.components import connected_components
-from flowspark.llm.textops import LOWER, SPACED, mix, span_hashes, spans_where, window_hashes
+from flowspark.llm.textops import LOWER, SPACED, mix, span_ids, spans_where, window_hashes
 from flowspark.session import materialize
 
 SHINGLE = 5
@@ -55,7 +55,7 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     data, offsets = utf8(column)
     data = LOWER[data]
     starts, ends, rows = spans_where(SPACED[data], offsets)
-    words = span_hashes(data, starts, ends)
+    words = span_ids(data, starts, ends)[0]
     shingles, at = window_hashes(words, rows, size)
     word_bounds = np.searchsorted(rows, np.arange(len(column) + 1))
     bounds = np.searchsorted(rows[at], np.arange(len(column) + 1))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.llm.common import text_of, utf8, with_columns
-from flowspark.llm.textops import SPACED, covered, lines_of, per_text, span_hashes, spans_where, window_hashes
+from flowspark.llm.textops import SPACED, covered, lines_of, per_text, span_ids, spans_where, window_hashes
 
 FIT_DOCS = 1500
 FIT_LINES = 30_000
@@ -51,7 +51,7 @@ class Lines:
         starts, ends, rows = spans_where(SPACED[data], offsets)
         in_words = SPACED[data] & ((data & 0xC0) != 0x80)
         at_byte = np.r_[0, np.cumsum(in_words)]
-        hashes = span_hashes(data, starts, ends)
+        hashes = span_ids(data, starts, ends)[0]
         triples, at = window_hashes(hashes, rows, 3)
         repeated = covered(at[_twice(triples, rows[at])], 3, len(starts))
         self.first, self.last, self.row = lines_of(data, offsets)
@@ -59,7 +59,7 @@ class Lines:
         # an empty line starts where the next one's text may: take the last line that begins there
         lines = len(self.first)
         self.words = np.bincount(line_of_word, minlength=lines)
-        line_hashes = span_hashes(data, self.first, self.last)
+        line_hashes = span_ids(data, self.first, self.last)[0]
         filled = np.flatnonzero(self.words > 0)
         self.duplicate = np.zeros(lines, bool)
         self.duplicate[filled[_later(line_hashes[filled], self.row[filled])]] = True

@@ -19,12 +19,18 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[0x30:0x3A] = ALPHANUMERIC[0x61:0x7B] = ALPHANUMERIC[0x80:] = True
 
+TABLE_STEP = 1 << 16
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def table_size(n: int) -> int:
+    """Entries of a table for texts of `n` bytes: some more, so that growing texts seldom need a new one."""
+    return -(-(n + n // 8) // TABLE_STEP) * TABLE_STEP
+
+
 def power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = table_size(n)
         for k, base in enumerate((BASE, BASE_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -81,6 +87,66 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: n
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+PRIME = np.uint64((1 << 61) - 1)
+PRIME_BASE = 0x1B3E5A7C9D2F4681 % int(PRIME)
+PRIME_CODES = np.random.default_rng(20250211).integers(1, 1 << 31, 256, dtype=np.int64).astype(np.uint64)
+_prime_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _u(x: int) -> np.uint64:
+    return np.uint64(x)
+
+
+def times_mod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of numbers below 2^61, modulo PRIME, from halves of 32 bits."""
+    a1, a0, b1, b0 = a >> _u(32), a & _u(0xFFFFFFFF), b >> _u(32), b & _u(0xFFFFFFFF)
+    middle, low = a1 * b0 + a0 * b1, a0 * b0
+    total = (a1 * b1 << _u(3)) + (middle >> _u(29)) + ((middle & _u((1 << 29) - 1)) << _u(32)) + (low & PRIME) + (low >> _u(61))
+    return reduced(reduced(total))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Equal modulo PRIME and, taken twice, at most PRIME itself."""
+    return (x & PRIME) + (x >> _u(61))
+
+
+def prime_powers(n: int) -> list[np.ndarray]:
+    """Powers of the base modulo PRIME, and of its inverse, at least `n` of each."""
+    if len(_prime_powers[0]) < n:
+        size = table_size(n)
+        for k, base in enumerate((PRIME_BASE, pow(PRIME_BASE, -1, int(PRIME)))):
+            table = np.ones(1, np.uint64)
+            while len(table) < size:
+                table = np.concatenate([table, times_mod(table, np.full(1, pow(base, len(table), int(PRIME)), np.uint64))])
+            _prime_powers[k] = table[:size].copy()
+    return _prime_powers
+
+
+def prime_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of every span as a polynomial modulo PRIME: no set of texts is bound to collide, whatever the base."""
+    power, inverse = prime_powers(len(data) + 1)
+    sums = np.zeros((2, len(data) + 1), np.uint64)  # of the upper and the lower bits, so that no sum overflows
+    for a in range(0, len(data), TABLE_STEP):
+        b = min(a + TABLE_STEP, len(data))
+        codes, now = PRIME_CODES[data[a:b]], power[a:b]
+        high = codes * (now >> _u(31))  # below 2^61, to be shifted by 31
+        values = reduced(((high & _u((1 << 30) - 1)) << _u(31)) + (high >> _u(30)) + codes * (now & _u((1 << 31) - 1)))
+        for k, part in enumerate((values >> _u(31), values & _u((1 << 31) - 1))):
+            part[0] += sums[k, a]
+            np.cumsum(part, out=sums[k, a + 1: b + 1])
+    upper, lower = reduced(sums[0][ends] - sums[0][starts]), sums[1][ends] - sums[1][starts]
+    total = reduced(reduced(((upper & _u((1 << 30) - 1)) << _u(31)) + (upper >> _u(30)) + reduced(lower)))
+    found = times_mod(total, inverse[starts])
+    return np.where(found == PRIME, _u(0), found)
+
+
+def span_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for the bytes of every span, as two numbers, from two unrelated polynomials (modulo 2^64 and PRIME)."""
+    first = span_hashes(data, starts, ends)
+    second = prime_hashes(data, starts, ends) + (ends - starts).astype(np.uint64)
+    return mix(first ^ mix(second)), mix(second * _u(0x9E3779B97F4A7C15) + mix(first + _u(0x632BE59BD9B4E019)))
+
+
 def window_hashes(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n neighbouring spans of one text, and the index of the first of each."""
     count = len(hashes) - n + 1
