@@ -167,7 +167,8 @@ def rolling_source_counts(flows: DataFrame, rule: ScanRule = ScanRule()) -> Data
          _spans(endpoints, ["DestinationIP", "DestinationPort"], rule, "WindowUniqueDestinationEndpoints"),
          _spans(ports, ["DestinationPort"], rule, "WindowUniqueDestinationPorts")],
     )
-    running = running_totals(events, KEY, ["_at", "_phase", "_pos", "_own"], COUNTS)
+    # stored, because cutting it into ranges reads it twice
+    running = running_totals(materialize(events, "events"), KEY, ["_at", "_phase", "_pos", "_own"], COUNTS)
     return running.where(F.col("_own") == 1).select(*KEY, "_row.*", *[F.col(f"cum_{c}").alias(c) for c in COUNTS])
 
 

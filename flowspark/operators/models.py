@@ -1,4 +1,4 @@
-"""Training, comparison and persistence of the supervised detectors on MLlib."""
+"""Training, comparison and persistence of the supervised detectors: MLlib for linear models, own tree ensembles."""
 
 from __future__ import annotations
 
@@ -9,18 +9,17 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.labels import class_name
-from flowspark.operators import metrics
+from flowspark.operators import boosting, forest, metrics
 from flowspark.operators.prefix import exact_quantiles
 from flowspark.operators.sampling import class_weights
+from flowspark.operators.trees import Ensemble
 from flowspark.schema import OPERATIONAL_FAMILIES, q
 from flowspark.session import beside, lookup_join, materialize, scratch_path, spread
 
@@ -113,23 +112,17 @@ class Candidate:
     depth: int = 20
     iterations: int = 100
 
-    def estimator(self, classes: int):
-        common = dict(featuresCol=VECTOR, labelCol=TARGET, weightCol=WEIGHT)
-        if self.kind == "linear":
-            family = "binomial" if classes == 2 else "multinomial"
-            return LogisticRegression(**common, regParam=1e-4, maxIter=self.iterations, standardization=False, family=family)
+    def linear(self, classes: int) -> LogisticRegression:
+        family = "binomial" if classes == 2 else "multinomial"
+        return LogisticRegression(featuresCol=VECTOR, labelCol=TARGET, weightCol=WEIGHT, regParam=1e-4, maxIter=self.iterations,
+                                  standardization=False, family=family)
+
+    def ensemble(self, rows: DataFrame, columns: Sequence[str], classes: int) -> Ensemble:
+        """Fit trees on complete columns with TARGET, WEIGHT and _held."""
         if self.kind == "forest":
-            return RandomForestClassifier(
-                **common, numTrees=self.trees, maxDepth=self.depth, minInstancesPerNode=2, maxBins=64,
-                featureSubsetStrategy="sqrt", seed=SEED, maxMemoryInMB=1024, cacheNodeIds=True,
-            )
-        boosted = GBTClassifier(
-            featuresCol=VECTOR, labelCol=TARGET, stepSize=0.08, maxIter=self.iterations, maxDepth=5,
-            minInstancesPerNode=20, maxBins=64, seed=SEED, maxMemoryInMB=1024, validationTol=1e-4,
-        )
-        if classes == 2:
-            return boosted.setWeightCol(WEIGHT).setValidationIndicatorCol("_held")
-        return OneVsRest(classifier=boosted, featuresCol=VECTOR, labelCol=TARGET, weightCol=WEIGHT, parallelism=classes)
+            return forest.fit_forest(rows, columns, TARGET, classes, self.trees, self.depth)
+        settings = boosting.Boosting(iterations=self.iterations)
+        return boosting.fit_boosting(rows, columns, TARGET, WEIGHT, "_held", classes, settings)
 
 
 BINARY_CANDIDATES = [
@@ -153,16 +146,21 @@ class Detector:
     threshold: float = 0.5
     fit_seconds: float = 0.0
     facts: dict = field(default_factory=dict)
-
-    def probabilities(self, df: DataFrame) -> DataFrame:
-        """Add ``_probabilities``, an array in class order."""
+    ensemble: Ensemble | None = None
+    medians: dict[str, float] | None = None
+
+    def probabilities(self, df: DataFrame, where: Column | None = None) -> DataFrame:
+        """Add ``_probabilities``, an array in class order; null where `where` does not hold, and trees skip those rows."""
+        wanted = F.lit(True) if where is None else where
+        if self.ensemble is not None:
+            point = F.array(*[F.expr(imputed_sql(f, self.medians[f])) for f in self.features])
+            return df.withColumn("_probabilities", self.ensemble.column(df.sparkSession, F.when(wanted, point)))
+        if where is not None:
+            found = self.probabilities(df)
+            return found.withColumn("_probabilities", F.when(wanted, F.col("_probabilities")))
         out = self.pipeline.transform(_positional(df, self.features, F.struct("*").alias("_row")))
         if "probability" in out.columns:
             values = vector_to_array("probability")
-        elif "rawPrediction" in out.columns:
-            powers = F.transform(vector_to_array("rawPrediction"), F.exp)
-            total = F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
-            values = F.transform(powers, lambda p: p / total)
         else:
             values = F.col("_prior")
         return out.select("_row.*", values.alias("_probabilities"))
@@ -173,9 +171,9 @@ class Detector:
         value = F.coalesce(F.get("_probabilities", F.lit(1)), F.lit(0.0))
         return scored.withColumn(name, value).drop("_probabilities")
 
-    def predict_class(self, df: DataFrame, name: str, confidence: str, details: bool = False) -> DataFrame:
-        """Add the most probable class, its probability and, on request, one column per class."""
-        scored = self.probabilities(df)
+    def predict_class(self, df: DataFrame, name: str, confidence: str, details: bool = False, where: Column | None = None) -> DataFrame:
+        """Add the most probable class, its probability and, on request, one column per class; null beyond `where`."""
+        scored = self.probabilities(df, where)
         best = F.array_max("_probabilities")
         label = F.element_at(F.array(*[F.lit(c) for c in self.classes]), F.array_position("_probabilities", best).cast("int"))
         extra = {
@@ -219,9 +217,15 @@ def fit_detector(train: DataFrame, candidate: Candidate, features: Sequence[str]
             stages: list[Transformer] = [_prior_stage(rows, len(classes))]
         else:
             medians = feature_medians(rows, slots)
+            weighted = with_class_weights(rows, TARGET)
+            if candidate.kind != "linear":
+                complete = weighted.select(TARGET, WEIGHT, "_held", *[F.expr(imputed_sql(c, medians[c])).alias(c) for c in slots])
+                trees = candidate.ensemble(complete, slots, len(classes))
+                return Detector(candidate.name, PipelineModel([]), list(features), list(classes), ensemble=trees,
+                                medians=dict(zip(features, medians.values())), fit_seconds=time.perf_counter() - started)
             stages = preparation_stages(medians, feature_moments(rows, medians) if candidate.scaled else None)
-            ready = reduce(lambda df, stage: stage.transform(df), stages, with_class_weights(rows, TARGET))
-            model = candidate.estimator(len(classes)).fit(ready.select(VECTOR, TARGET, WEIGHT, "_held"))
+            ready = reduce(lambda df, stage: stage.transform(df), stages, weighted)
+            model = candidate.linear(len(classes)).fit(ready.select(VECTOR, TARGET, WEIGHT))
             stages = stages + [_without_summary(train.sparkSession, model)]
     finally:
         rows.unpersist()
@@ -231,7 +235,7 @@ def fit_detector(train: DataFrame, candidate: Candidate, features: Sequence[str]
 
 def feature_importance(detector: Detector, spark: SparkSession, top: int | None = None) -> DataFrame:
     """Features by importance, for tree models."""
-    values = detector.pipeline.stages[-1].featureImportances.toArray()
+    values = detector.ensemble.importance()
     table = spark.createDataFrame(
         [(f, float(v)) for f, v in zip(detector.features, values)], "feature string, importance double"
     ).orderBy(F.desc("importance"), "feature")
@@ -329,15 +333,20 @@ def load_facts(spark: SparkSession, path: str) -> dict:
 
 
 def save_detector(spark: SparkSession, detector: Detector, path: str) -> None:
-    """Model stages and a JSON record of features, classes and threshold."""
-    detector.pipeline.write().overwrite().save(f"{path}/pipeline")
+    """Model stages or trees, and a JSON record of features, classes and threshold."""
+    if detector.ensemble is None:
+        detector.pipeline.write().overwrite().save(f"{path}/pipeline")
+    else:
+        detector.ensemble.save(spark, f"{path}/ensemble")
     save_facts(spark, f"{path}/facts", {
         "name": detector.name, "features": detector.features, "classes": detector.classes,
-        "threshold": detector.threshold, **detector.facts,
+        "threshold": detector.threshold, "medians": detector.medians, **detector.facts,
     })
 
 
 def load_detector(spark: SparkSession, path: str) -> Detector:
     facts = load_facts(spark, f"{path}/facts")
-    known = {k: facts.pop(k) for k in ("name", "features", "classes", "threshold")}
-    return Detector(pipeline=PipelineModel.load(f"{path}/pipeline"), facts=facts, **known)
+    known = {k: facts.pop(k) for k in ("name", "features", "classes", "threshold", "medians")}
+    if known["medians"] is None:
+        return Detector(pipeline=PipelineModel.load(f"{path}/pipeline"), facts=facts, **known)
+    return Detector(pipeline=PipelineModel([]), facts=facts, ensemble=Ensemble.load(spark, f"{path}/ensemble"), **known)

@@ -2,34 +2,101 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowspark.session import lookup_join, materialize
+from flowspark.session import lookup_join, materialize, null_safe
+
+LONG, DOUBLE = T.LongType(), T.DoubleType()
+
+
+def _same(now: pa.Array, before: pa.Array) -> np.ndarray:
+    """Whether values are equal, with null equal to null and NaN to NaN."""
+    equal = pc.fill_null(pc.equal(now, before), False)
+    equal = pc.or_(equal, pc.and_(pc.is_null(now), pc.is_null(before)))
+    if pa.types.is_floating(now.type):
+        equal = pc.or_(equal, pc.fill_null(pc.and_(pc.is_nan(now), pc.is_nan(before)), False))
+    return equal.to_numpy(zero_copy_only=False)
+
+
+def _sum_in_ranges(keys: Sequence[str], sums: Sequence[str], schema: T.StructType):
+    """Over a sorted partition: running sums that begin anew with every key, and the partition's number."""
+    whole = [schema[f"cum_{c}"].dataType == LONG for c in sums]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, held = TaskContext.get().partitionId(), None, [0] * len(sums)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            same = np.ones(batch.num_rows, bool)
+            same[0] = last is not None
+            for k, column in enumerate(columns):
+                before = pa.concat_arrays([(column if last is None else last[k]).slice(0, 1), column.slice(0, batch.num_rows - 1)])
+                same &= _same(column, before)
+            begin = np.maximum.accumulate(np.where(same, 0, np.arange(batch.num_rows)))
+            totals = []
+            for k, name in enumerate(sums):
+                kind = (np.int64, pa.int64()) if whole[k] else (np.float64, pa.float64())
+                values = pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(kind[1]), 0).to_numpy(zero_copy_only=False)
+                running = np.r_[np.zeros(1, kind[0]), np.cumsum(values)]
+                total = running[1:] - running[begin]
+                if same[0]:  # the batch's first key goes on from the batch before
+                    total[begin == 0] += held[k]
+                held[k] = total[-1]
+                totals.append(pa.array(total, kind[1]))
+            last = [c.slice(batch.num_rows - 1, 1) for c in columns]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *totals, pa.array(np.full(batch.num_rows, part, np.int32))], names=schema.names)
+
+    return run
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Add inclusive running sums ``cum_<name>`` along ascending `order` within `keys` (null is a key like any other).
 
-    `order` is unique within `keys` (group by it first). The rows are cut by sampled ranks of keys and order into ranges
-    of equal size, whatever the keys' sizes and however values crowd, and each range of a key starts from the summed
-    totals of its ranges before. The cut rows are stored, so that totals and rows agree on the ranges.
+    `order` is unique within `keys` (group by it first); null values count as 0. The rows are cut by sampled ranks of keys and
+    order into ranges of equal size, whatever the keys' sizes and however values crowd, and each range is summed in the
+    task that sorted it: the rows are shuffled once. Only the key that a cut divides needs the sums of the ranges before, one
+    row for each range. The cut rows are stored, so that sums and rows agree on the ranges.
     """
     by, along = list(keys), [order] if isinstance(order, str) else list(order)
-    ranged = df.repartitionByRange(*[F.col(f"`{c}`") for c in by + along]).withColumn("_part", F.spark_partition_id())
-    placed = materialize(ranged, "ranges")
-    part = by + ["_part"]
-    prior = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range and key in it: a key has at most as many as there are ranges
-    starts = (
-        placed.groupBy(*part).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-        .select(*part, *[F.coalesce(F.sum(f"_t_{c}").over(prior), F.lit(0)).alias(f"_start_{c}") for c in sums])
-    )
-    inside = Window.partitionBy(*part).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
-    totals = [(F.sum(c).over(inside) + F.col(f"_start_{c}")).alias(f"cum_{c}") for c in sums]
-    return lookup_join(placed, starts, part).select(*[F.col(f"`{c}`") for c in df.columns], *totals)
+    kinds = {c: LONG if isinstance(df.schema[c].dataType, T.IntegralType) else DOUBLE for c in sums}
+    fields = [T.StructField(f"cum_{c}", kinds[c]) for c in sums] + [T.StructField("_part", T.IntegerType())]
+    schema = T.StructType(df.schema.fields + fields)
+    sort = [F.col(f"`{c}`") for c in by + along]
+    ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    placed = materialize(ranged.mapInArrow(_sum_in_ranges(by, sums, schema), schema), "ranges")
+    key, place = F.struct(F.lit(0).alias("all"), *sort[: len(by)]), F.struct(*sort)
+    ends = placed.groupBy("_part").agg(
+        F.min(key).alias("first"), F.max(key).alias("last"),
+        F.max_by(F.struct(*[F.col(f"cum_{c}") for c in sums]), place).alias("total")).orderBy("_part").collect()  # a row per range
+    starts, before, held = [], None, [0] * len(sums)
+    for row in ends:
+        goes_on = before is not None and _equal(before, tuple(row["first"]))
+        if goes_on:
+            starts.append((row["_part"], *row["first"][1:], *held))
+        through = goes_on and _equal(tuple(row["first"]), tuple(row["last"]))
+        held = [x + y for x, y in zip(held, row["total"])] if through else list(row["total"])
+        before = tuple(row["last"])
+    cum = [F.col(f"cum_{c}") for c in sums]
+    if starts:
+        carried = T.StructType([T.StructField("_part", T.IntegerType()), *[df.schema[c] for c in by],
+                                *[T.StructField(f"_start_{c}", kinds[c]) for c in sums]])
+        table = df.sparkSession.createDataFrame(starts, T.StructType([T.StructField(f.name, f.dataType) for f in carried]))
+        placed = null_safe(placed, F.broadcast(table), ["_part", *by], "left")
+        cum = [c + F.coalesce(F.col(f"_start_{n}"), F.lit(0)) for c, n in zip(cum, sums)]
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(f"cum_{n}") for c, n in zip(cum, sums)])
+
+
+def _equal(a: tuple, b: tuple) -> bool:
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:

@@ -20,13 +20,16 @@ from flowspark.session import lookup_join, materialize, null_safe, skew_safe_loo
 SEED = 42
 SPLITS = ["train", "validation", "test"]
 PREFIX_DIGITS = 4
+#: Seeds that a grouped split tries in its first job.
+FIRST_ATTEMPTS = 8
 
 
-def hash_key(seed: int, ids: Sequence[str]) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids]))
+def hash_key(seed: int | Column, ids: Sequence[str]) -> Column:
+    salt = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws("|", salt, *[F.col(c).cast("string") for c in ids]))
 
 
-def _hashed(df: DataFrame, ids: Sequence[str], seed: int) -> DataFrame:
+def _hashed(df: DataFrame, ids: Sequence[str], seed: int | Column) -> DataFrame:
     return df.withColumn("_h", hash_key(seed, ids)).withColumn("_b", F.substring("_h", 1, PREFIX_DIGITS))
 
 
@@ -176,30 +179,32 @@ def group_table(df: DataFrame, group: str, stratum: str) -> DataFrame:
     )
 
 
-def assign_groups(groups: DataFrame, group: str, stratum: str, seed: int = SEED) -> DataFrame:
+def assign_groups(groups: DataFrame, group: str, stratum: str, seed: int | Column = SEED, by: Sequence[str] = ()) -> DataFrame:
     """Give every group one split, about 20 % test, 16 % validation, 64 % train per stratum.
 
     A group holding over half of its stratum trains. The others are laid end to end in hash
-    order; where a group starts decides its split, so groups never cross a boundary.
+    order; where a group starts decides its split, so groups never cross a boundary. `by` names
+    columns whose values each have a layout of their own, such as the seeds of several attempts.
     """
-    totals = groups.groupBy(stratum).agg(F.sum("rows").alias("_total"))
-    sized = _hashed(lookup_join(groups, totals, [stratum]), [group], seed)
+    keys = [*by, stratum]
+    totals = groups.groupBy(*keys).agg(F.sum("rows").alias("_total"))
+    sized = _hashed(lookup_join(groups, totals, keys), [group], seed)
     big = F.col("rows") * 2 > F.col("_total")
     laid = sized.withColumn("_weight", F.when(big, F.lit(0)).otherwise(F.col("rows")))
-    prior = Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = laid.groupBy(stratum, "_b").agg(F.sum("_weight").alias("_w")).select(
-        stratum, "_b", F.coalesce(F.sum("_w").over(prior), F.lit(0)).alias("_start")
+    prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = laid.groupBy(*keys, "_b").agg(F.sum("_weight").alias("_w")).select(
+        *keys, "_b", F.coalesce(F.sum("_w").over(prior), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy(stratum, "_b").orderBy("_h", group).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_b").orderBy("_h", group).rowsBetween(Window.unboundedPreceding, -1)
     begin = F.col("_start") + F.coalesce(F.sum("_weight").over(inside), F.lit(0))
-    placed = null_safe(laid, starts, [stratum, "_b"]).withColumn("_begin", begin)
+    placed = null_safe(laid, starts, [*keys, "_b"]).withColumn("_begin", begin)
     split = (
         F.when(F.col("rows") * 2 > F.col("_total"), "train")
         .when(F.col("_begin") * 100 < F.col("_total") * 20, "test")
         .when(F.col("_begin") * 100 < F.col("_total") * 36, "validation")
         .otherwise("train")
     )
-    return placed.select(group, stratum, "rows", split.alias("split"))
+    return placed.select(*by, *[c for c in groups.columns if c not in by], split.alias("split"))
 
 
 def grouped_stratified_split(df: DataFrame, group: str = "GroupID", stratum: str = "Stratum",
@@ -214,25 +219,35 @@ def grouped_split_all_classes(df: DataFrame, family: str = "OperationalFamily",
                               max_attempts: int = 100, seed: int = SEED) -> tuple[DataFrame, int]:
     """First seed whose grouped split shows every family in every part; error if none does.
 
-    Attempts run on the group table, which holds (group, family) counts only.
+    All seeds of a batch are laid out over the stored group table in one job, and the first that covers is picked by
+    aggregation: one job for the first FIRST_ATTEMPTS seeds, one more for all others. The chosen layout is stored.
     """
-    members = df.groupBy(group, family).agg(F.count("*").alias("_n")).persist()
-    expected = members.select(family).distinct().count() * len(SPLITS)
-    groups = members.groupBy(group).agg(
-        F.sum("_n").alias("rows"), F.max_by(family, F.struct("_n", family)).alias("_stratum")
-    )
-    try:
-        for attempt in range(max_attempts):
-            assigned = assign_groups(groups, group, "_stratum", seed + attempt)
-            seen = null_safe(members, assigned.select(group, "split"), [group]).select(family, "split").distinct()
-            if seen.count() == expected:
-                table = assigned.select(group, "rows", "split")
-                return skew_safe_lookup(df, table, group, "rows"), seed + attempt
-    finally:
-        members.unpersist()
+    members = df.groupBy(group, family).agg(F.count("*").alias("_n"))
+    # families are few, so a group's list of them is short
+    groups = materialize(members.groupBy(group).agg(
+        F.sum("_n").alias("rows"), F.max_by(family, F.struct("_n", family)).alias("_stratum"),
+        F.collect_set(F.struct(F.col(family).alias("f"))).alias("_families")), "groups")
+    last = seed + max_attempts
+    for low, high in ((seed, min(seed + FIRST_ATTEMPTS, last)), (seed + FIRST_ATTEMPTS, last)):
+        found = covering_seed(groups, group, low, high) if low < high else None
+        if found is not None:
+            table = materialize(assign_groups(groups.drop("_families"), group, "_stratum", found).select(group, "rows", "split"), "assigned")
+            return skew_safe_lookup(df, table, group, "rows"), found
     raise RuntimeError(f"no grouped split covers every family within {max_attempts} attempts")
 
 
+def covering_seed(groups: DataFrame, group: str, low: int, high: int) -> int | None:
+    """The first seed of [low, high) whose layout of the group table has every family in every split."""
+    tried = groups.withColumn("_seed", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+    laid = assign_groups(tried, group, "_stratum", F.col("_seed"), ["_seed"])
+    seen = laid.select("_seed", "split", F.explode("_families").alias("_f")).distinct()
+    everything = Window.partitionBy(F.lit(0))  # a row a seed, family and split
+    covered = seen.withColumn("_families", F.size(F.collect_set("_f").over(everything))).groupBy("_seed").agg(
+        F.count("*").alias("n"), F.max("_families").alias("families"))
+    row = covered.where(F.col("n") == F.col("families") * len(SPLITS)).agg(F.min("_seed").alias("first")).first()
+    return row["first"]
+
+
 def group_overlap(df: DataFrame, group: str = "GroupID") -> DataFrame:
     """Groups shared by each pair of splits, and the number of groups: one row."""
     per_group = df.groupBy(group).agg(*[F.max((F.col("split") == s).cast("int")).alias(s) for s in SPLITS])

@@ -14,7 +14,7 @@ from flowspark.techniques import default_techniques
 
 FEATURES = ["port", "response", "hour", "syn", "reset", "protocol"]
 BINARY, FAMILY = models.BINARY_CANDIDATES, models.FAMILY_CANDIDATES
-LINEAR, FOREST, BOOSTING = BINARY[1], BINARY[2], BINARY[3]
+FOREST, BOOSTING = BINARY[2], BINARY[3]
 
 
 def feature_flows(spark, sf):
@@ -92,7 +92,7 @@ def family_boosting(spark, sf):
 
 @query("scenario_holdout")
 def scenario_holdout(spark, sf):
-    return evaluate.evaluate_holdout(feature_flows(spark, sf), FEATURES, LINEAR)["metrics"]
+    return evaluate.evaluate_holdout(feature_flows(spark, sf), FEATURES, BOOSTING)["metrics"]
 
 
 @query("anomaly_holdout")

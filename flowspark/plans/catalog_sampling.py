@@ -155,7 +155,19 @@ def group_isolation(spark, sf):
     return sampling.group_overlap(sampling.grouped_stratified_split(flows(spark, sf).select("RowID", "GroupID", "Stratum")))
 
 
-@query("family_split", None)
+@query("family_split", with_flows(f""",
+members AS (SELECT "GroupID" AS g, "OperationalFamily" AS f, count(*) AS n FROM flows WHERE "BinaryLabel" = 1 GROUP BY 1, 2),
+groups AS (SELECT g, CAST(sum(n) AS BIGINT) AS n, max_by(f, lpad(CAST(n AS VARCHAR), 12, '0') || f) AS s FROM members GROUP BY 1),
+seeds AS (SELECT unnest(range({sampling.SEED}, {sampling.SEED + 100})) AS seed),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY seed, s) AS total, md5(CAST(seed AS VARCHAR) || '|' || g) AS h FROM groups, seeds),
+laid AS (SELECT *, CASE WHEN n * 2 > total THEN 0 ELSE n END AS w FROM sized),
+placed AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY seed, s ORDER BY h, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM laid),
+assigned AS (SELECT seed, g, CASE WHEN n * 2 > total THEN 'train' WHEN b * 100 < total * 20 THEN 'test'
+  WHEN b * 100 < total * 36 THEN 'validation' ELSE 'train' END AS split FROM placed),
+seen AS (SELECT DISTINCT seed, f, split FROM assigned JOIN members ON assigned.g = members.g),
+covering AS (SELECT seed FROM seen GROUP BY 1 HAVING count(*) = 3 * (SELECT count(DISTINCT f) FROM members))
+SELECT f AS "OperationalFamily", split, CAST(sum(n) AS BIGINT) AS row_count FROM assigned JOIN members ON assigned.g = members.g
+WHERE seed = (SELECT min(seed) FROM covering) GROUP BY 1, 2"""))
 def family_split(spark, sf):
     attacks = flows(spark, sf).where(F.col("BinaryLabel") == 1)
     split, _ = sampling.grouped_split_all_classes(attacks.select("Scenario", "RowID", "GroupID", "OperationalFamily"))

@@ -66,14 +66,11 @@ def load_bundle(spark: SparkSession, path: str, technique_map: str | None = None
 
 
 def analyze(df: DataFrame, bundle: Bundle) -> DataFrame:
-    """Prediction ledger of a flow table.
-
-    One pass: the family model also sees rows the binary model clears, and its answer is then
-    blanked. A second branch for flagged rows alone would read the table twice.
-    """
+    """Prediction ledger of a flow table, in one pass; the family model works on the rows that the binary model flags."""
     ready = profile.prepare_features(df, bundle.features)
     known = bundle.binary.attack_probability(ready, "KnownAttackProbability")
-    family = bundle.family.predict_class(known, "_family", "_confidence")
+    flagged = F.col("KnownAttackProbability") >= F.lit(float(bundle.binary.threshold))
+    family = bundle.family.predict_class(known, "_family", "_confidence", where=flagged)
     scored = bundle.anomaly.score(family)
     return scoring.finish_ledger(scored, bundle.techniques, bundle.binary.threshold, bundle.anomaly.threshold)
 

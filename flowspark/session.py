@@ -25,6 +25,7 @@ def build_session(app: str = "flowspark", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.ui.enabled", "false")
     )
     if master:

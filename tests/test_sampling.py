@@ -109,7 +109,7 @@ def test_overlap_raises(spark):
         sampling.require_isolation(rows)
 
 
-def test_split_with_all_classes(spark):
+def test_split_with_all_classes(spark, monkeypatch):
     rows = grouped(spark).withColumn("OperationalFamily", F.when(F.col("RowID") % 300 < 12, "rare").otherwise("common"))
     rows = rows.where("GroupID <> 'hot'")
     split, seed = sampling.grouped_split_all_classes(rows)
@@ -118,6 +118,18 @@ def test_split_with_all_classes(spark):
     single = rows.withColumn("OperationalFamily", F.when(F.col("GroupID") == "g5", "single").otherwise("common"))
     with pytest.raises(RuntimeError):
         sampling.grouped_split_all_classes(single, max_attempts=2)
+    # the batch of seeds finds what trying them one by one finds, in the first job or in the second
+    groups = rows.groupBy("GroupID", "OperationalFamily").count()
+
+    def covers(one):
+        table = sampling.group_table(rows, "GroupID", "OperationalFamily")
+        laid = sampling.assign_groups(table, "GroupID", "OperationalFamily", one).select("GroupID", "split")
+        return laid.join(groups, "GroupID").select("split", "OperationalFamily").distinct().count() == 6
+
+    assert covers(seed) and not any(covers(s) for s in range(42, seed))
+    monkeypatch.setattr(sampling, "FIRST_ATTEMPTS", 0)
+    again, other = sampling.grouped_split_all_classes(rows)
+    assert other == seed and again.exceptAll(split.select(*again.columns)).isEmpty()
 
 
 def test_coverage(spark):
