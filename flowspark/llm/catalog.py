@@ -213,3 +213,33 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = prefix_trie.ids_digest(members)
     ended = nodes.where("seq_key IS NOT NULL").join(digests, "seq_key").select(*columns, "ends_sha256")
     return ended.union(nodes.where("seq_key IS NULL").select(*columns, F.sha2(F.lit(b""), 256).alias("ends_sha256")))
+
+
+SQL["op13_prefix_trie"] = """
+WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+hashed AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 9 AS h
+  FROM ids),
+own AS (
+  SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn_of,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, o.pos, o.turn_of FROM hashed c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 5 AND o.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, 1 AS part, o.pos, o.turn_of FROM hashed c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.h),
+seqs AS (SELECT i.conv_id, coalesce(list(r.turn_of ORDER BY part, pos) FILTER (r.turn_of IS NOT NULL), []) AS seq FROM ids i LEFT JOIN rebuilt r ON r.conv_id = i.conv_id GROUP BY 1),
+placed AS (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS depth FROM seqs),
+prefixes AS (SELECT conv_id, depth, sha256(CAST(seq[1:depth] AS VARCHAR)) AS prefix, sha256(CAST(seq[1:depth - 1] AS VARCHAR)) AS up,
+  len(seq) = depth AS ends, CASE WHEN depth > 0 THEN strlen(seq[depth].text) ELSE 0 END AS size FROM placed),
+nodes AS (SELECT depth, prefix, any_value(CASE WHEN depth > 0 THEN up END) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY 1, 2),
+children AS (SELECT depth - 1 AS depth, up AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+facts AS (SELECT n.*, coalesce(c.n, 0) AS n_children, (n.n_convs - 1) * n.size AS gain FROM nodes n LEFT JOIN children c USING (depth, prefix)),
+sums AS (SELECT p.depth, p.prefix, sum(f.gain) AS saved, count(*) FILTER (f.n_children = 0) AS leaves
+  FROM facts f JOIN prefixes p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY 1, 2)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM facts f JOIN sums s USING (depth, prefix) LEFT JOIN nodes u ON u.depth = f.depth - 1 AND u.prefix = f.up
+"""
