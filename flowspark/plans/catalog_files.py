@@ -65,6 +65,19 @@ def file_digests(spark, sf):
     return files.select(key.alias("nation_key"), F.col("bytes").alias("size_bytes"), F.col("sha256").alias("digest"))
 
 
+@query("document_file_digests", """
+SELECT doc_id % 64 AS bucket, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size_bytes,
+  sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1""")
+def document_file_digests(spark, sf):
+    """Digests of the documents' texts, written into 64 files."""
+    path = scratch_path(spark, "texts")
+    docs = table(spark, sf, "documents").select((F.col("doc_id") % 64).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition(64, "bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(path)
+    files = tables.file_digests(spark, [f"{path}/*/*.txt"])
+    key = F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long")
+    return files.select(key.alias("bucket"), F.col("bytes").alias("size_bytes"), F.col("sha256").alias("digest"))
+
+
 def _raw(position: int) -> str:
     return f"event_id % {position + 1} + 0.5"
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,10 +58,72 @@ def write_report(df: DataFrame, path: str, kind: str = "csv", single_file: bool
         raise ValueError(f"unknown report kind {kind}")
 
 
-def file_digests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Size and SHA-256 of files."""
-    files = spark.read.format("binaryFile").load(list(paths))
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Name endings that the text reader decompresses; digests are of the bytes as stored.
+COMPRESSED = r"(?i)[.](gz|gzip|bz2|zst|zstd|lz4|snappy|deflate|xz)$"
+
+
+def _buffers(size: int):
+    """Over the lines of file splits in order: buffers of about `size` bytes, each with its split and place in it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, held_bytes, place = None, [], 0, 0
+
+        def buffer() -> pa.RecordBatch:
+            values = [[key[0]], [key[1]], [place], [b"".join(held)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int64(), pa.int64(), pa.binary()))],
+                                              names=["file", "begin", "place", "content"])
+
+        for batch in batches:
+            for file, begin, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and ((file, begin) != key or held_bytes >= size):
+                    yield buffer()
+                    place, held, held_bytes = (place + 1 if (file, begin) == key else 0), [], 0
+                key = (file, begin)
+                held += [line, b"\n"]
+                held_bytes += len(line) + 1
+        if held:
+            yield buffer()
+
+    return run
+
+
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over the buffers of files, sorted by file, split and place: the digest of each file, one buffer in memory at a time."""
+    file, state, last, total, size = None, None, b"", 0, 0
+
+    def done() -> pa.RecordBatch:
+        # the reader leaves out whether the last line had an end
+        state.update(last[:-1] if total == size + 1 else last)
+        return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([state.hexdigest()])], names=["file", "sha256"])
+
+    for batch in batches:
+        for now, bytes_, content in zip(*(batch.column(n).to_pylist() for n in ("file", "bytes", "content"))):
+            if now != file:
+                if file is not None:
+                    yield done()
+                file, state, last, total, size = now, hashlib.sha256(), b"", 0, bytes_
+            state.update(last)
+            last, total = content, total + len(content)
+    if file is not None:
+        yield done()
+
+
+def file_digests(spark: SparkSession, paths: Sequence[str], buffer_bytes: int = 4 << 20) -> DataFrame:
+    """Size and SHA-256 of files.
+
+    A file is read line by line in splits, packed into buffers, and the buffers of one file pass through one task in
+    order, which holds a buffer at a time: memory follows the longest line, not the file. Files whose name says that they
+    are compressed are hashed as stored, whole. Empty files have no row, as Spark's readers pass over them.
+    """
+    listed = spark.read.format("binaryFile").load(list(paths))
+    files = listed.select("path", F.col("length").alias("bytes"), F.col("_metadata.file_path").alias("file"))
+    whole = listed.where(F.col("path").rlike(COMPRESSED)).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.col("value").cast("binary").alias("line"))
+    plain = lines.where(~F.col("file").rlike(COMPRESSED))
+    buffers = plain.mapInArrow(_buffers(buffer_bytes), "file string, begin long, place long, content binary")
+    sized = buffers.join(files.select("file", "bytes"), "file").repartition("file").sortWithinPartitions("file", "begin", "place")
+    digests = sized.mapInArrow(_hash_files, "file string, sha256 string")
+    return files.join(digests, "file").select("path", "bytes", "sha256").union(whole)
 
 
 def preview(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, salts: int = 64) -> DataFrame:

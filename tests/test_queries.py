@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 
 TABLES = "/root/testdata/sf0.001"
 SAMPLE = ["label_families", "file_profile", "pair_compare", "ranking_metrics_by_scenario", "threshold_choice", "proportional_sample",
-          "grouped_split", "rolling_source_counts_tied", "scan_alerts", "prediction_ledger", "layer_matrix", "feature_medians"]
+          "grouped_split", "rolling_source_counts_tied", "scan_alerts", "prediction_ledger", "layer_matrix", "feature_medians",
+          "family_split", "document_file_digests"]
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(TABLES), reason="test tables absent")
 

@@ -1,5 +1,8 @@
+import gzip
 import hashlib
 import json
+import random
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +118,20 @@ def test_sensor_log(spark, tmp_path):
     assert [tuple(r) for r in lookups.signature_counts(alerts).collect()] == [("S", 2), ("T", 1)]
     assert lookups.count_records(spark, path) == 3
     assert lookups.count_records(spark, str(tmp_path / "absent.json")) is None
+
+
+@pytest.mark.parametrize("size", [4 << 20, 50])
+def test_digests_pass_buffers_in_order(spark, tmp_path, size):
+    rng = random.Random(size)
+    long = b"".join(bytes(rng.randrange(256) for _ in range(rng.randrange(40))) + b"\n" for _ in range(3000))
+    contents = {"a.csv": b"x\ny\n", "no end.csv": b"x\ny", "empty.csv": b"", "breaks.csv": b"\n\n\r\n", "long.csv": long,
+                "long no end.csv": long[:-1] + b"z", "packed.csv.gz": gzip.compress(b"x\n" * 500, mtime=0)}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")  # a file in several splits
+    try:
+        rows = tables.file_digests(spark, [str(tmp_path)], size).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {unquote(r["path"]).rsplit("/", 1)[1]: (r["bytes"], r["sha256"]) for r in rows}
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items() if c}
