@@ -216,7 +216,8 @@ def align(features: DataFrame, context: DataFrame, on: Sequence[str] = ("Scenari
           check: bool = True) -> DataFrame:
     """Join features to context one to one; with `check`, rows missing on a side raise.
 
-    Both tables are keyed by (Scenario, RowID), which is unique: no key is hot.
+    Both tables are keyed by (Scenario, RowID), which is unique: no key is hot. Tables stored by `tables.write_bucketed`
+    with the same buckets are neither shuffled for the check nor for the join.
     """
     keys = list(on)
     shared = [c for c in context.columns if c in features.columns and c not in keys]

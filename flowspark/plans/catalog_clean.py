@@ -243,6 +243,18 @@ def aligned_context(spark, sf):
                          F.col("SourceIP").alias("source_ip"), F.col("DestinationPort").alias("port"))
 
 
+@query("bucketed_alignment", with_flows("""
+SELECT "Scenario" AS scenario, "RowID" AS row_id, "Label" AS label, "SourceIP" AS source_ip, "DestinationPort" AS port FROM flows"""))
+def bucketed_alignment(spark, sf):
+    """Features and context stored in buckets of their keys, then aligned without a shuffle."""
+    f = flows(spark, sf)
+    features = tables.write_bucketed(f.select("Scenario", "RowID", "Label"), "features", buckets=16)
+    context = tables.write_bucketed(f.select("Scenario", "RowID", "SourceIP", "DestinationPort"), "context", buckets=16)
+    return profile.align(features, context).select(
+        F.col("Scenario").alias("scenario"), F.col("RowID").alias("row_id"), F.col("Label").alias("label"),
+        F.col("SourceIP").alias("source_ip"), F.col("DestinationPort").alias("port"))
+
+
 @query("scenario_keys", r"""
 SELECT trim(regexp_replace(replace(replace(regexp_replace(lower(f), '\([0-9]+\)', '', 'g'), '.pcap_iscx.csv', ''), '.csv', ''),
     '[^a-z0-9]+', '-', 'g'), '-') AS scenario_key,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.schema import CONTEXT_COLUMNS, q
+from flowspark.session import scratch_path
 
 TARGETS = ["LabelRaw", "Label", "BinaryLabel", "AttackFamily"]
 
@@ -42,6 +43,21 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df if columns is None else df.select(*[q(c) for c in columns])
 
 
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str] = ("Scenario", "RowID"), buckets: int = 64) -> DataFrame:
+    """Store a table in the shared folder, bucketed and sorted by `keys`, and read it back.
+
+    Two tables with the same number of buckets join on their keys without a shuffle, as often as they are joined. The
+    rows are dealt by the buckets' own hash first, so a bucket is one file. The catalog entry lasts as long as the session
+    unless its catalog is a stored one.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    entry = f"{name.replace('-', '_')}_{path.rsplit('-', 1)[1]}"
+    dealt = df.repartition(buckets, *[F.col(q(k)) for k in keys])
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(entry)
+    return spark.table(entry)
+
+
 def write_report(df: DataFrame, path: str, kind: str = "csv", single_file: bool = True) -> None:
     """Write a report as CSV, JSON lines or text.
 

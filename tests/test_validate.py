@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from flowspark.operators import extractor, profile
 from flowspark.schema import EXTRACTOR_COLUMNS, EXTRACTOR_CONTEXT, FEATURES
+from flowspark.sources import tables
 
 NAMES = ["f1", "f2"]
 CONTEXT = ["'a' AS SourceIP", "'b' AS DestinationIP", "'2024-01-01 00:00:00' AS Timestamp", "'80' AS DestinationPort", "'1' AS `SYN Flag Count`"]
@@ -99,6 +100,24 @@ def test_alignment(spark):
         profile.align(rows, other.where("RowID < 5"))
 
 
+def test_bucketed_tables_align_without_a_shuffle(spark):
+    rows = spark.range(900).select(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("Scenario"), F.col("id").alias("RowID"), F.col("id").alias("v"))
+    other = rows.select("Scenario", "RowID", (F.col("v") * 2).alias("w"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, right = (tables.write_bucketed(t, "aligned", buckets=8) for t in (rows, other))
+        joined = profile.align(left, right)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        check = left.select("Scenario", "RowID").join(right.select("Scenario", "RowID"), ["Scenario", "RowID"], "full_outer")
+        assert "Exchange" not in check._jdf.queryExecution().executedPlan().toString()
+        assert {(r.RowID, r.v, r.w) for r in joined.collect()} == {(k, k, 2 * k) for k in range(900)}
+        with pytest.raises(ValueError, match="do not align"):
+            profile.align(left, tables.write_bucketed(other.where("RowID <> 5"), "aligned", buckets=8))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_fingerprint_sees_order(spark):
     rows = spark.createDataFrame([("s", 0, "80", "BENIGN"), ("s", 1, "443", "BENIGN")], "Scenario string, RowID long, `Destination Port` string, Label string")
     swapped = rows.withColumn("RowID", 1 - F.col("RowID"))
