@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowspark.operators import metrics
+from flowspark.operators import metrics, sketches
 from flowspark.operators.prefix import exact_quantiles
 from flowspark.plans.registry import query, r, rounded
 from flowspark.plans.workload import flows, table, with_flows
@@ -332,3 +332,22 @@ def candidate_ranking(spark, sf):
     cells = metrics.binary_confusion(f.select("BinaryLabel", scores), ["model"], score="s")
     found = rounded(metrics.binary_metrics(cells), *METRICS)
     return metrics.rank_candidates(found, ["f2_attack", "recall_attack"]).limit(1)
+
+
+@query("sketched_scores", """
+SELECT 's' || CAST(event_id % 8 AS VARCHAR) AS scenario, prob, count(*) AS row_count, true AS quantile_within, true AS distinct_within
+FROM events, (SELECT unnest([0.1, 0.5, 0.99]) AS prob) GROUP BY 1, 2""")
+def sketched_scores(spark, sf):
+    """Quantiles and users of every scenario from stored sketches by day, held against the exact ones by their error bounds."""
+    e = table(spark, sf, "events").select(F.concat(F.lit("s"), (F.col("event_id") % 8).cast("string")).alias("scenario"),
+                                          F.to_date("ts").alias("day"), "value", "user_id")
+    stored = sketches.sketch_table(e, ["scenario", "day"], ["value"], ["user_id"])
+    found = sketches.merged_quantiles(stored, "value", [0.1, 0.5, 0.99], ["scenario"]).join(
+        F.broadcast(sketches.merged_distinct(stored, "user_id", ["scenario"])), "scenario")
+    held = e.join(F.broadcast(found), "scenario").groupBy("scenario", "prob", "distinct").agg(
+        F.count("*").alias("row_count"), F.count_if(F.col("value") < F.col("quantile")).alias("below"),
+        F.count_if(F.col("value") <= F.col("quantile")).alias("upto"), F.count_distinct("user_id").alias("users"))
+    goal, slack = F.col("prob") * F.col("row_count"), F.col("row_count") * sketches.RANK_ERROR + 1
+    return held.select(
+        "scenario", "prob", "row_count", ((F.col("below") <= goal + slack) & (F.col("upto") >= goal - slack)).alias("quantile_within"),
+        (F.abs(F.col("distinct") - F.col("users")) <= F.col("users") * sketches.DISTINCT_ERROR + 1).alias("distinct_within"))
