@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions.numeric import ratio
 from flowspark.operators import sampling
+from flowspark.plans import demo
 from flowspark.plans.registry import query, r, rounded
 from flowspark.plans.workload import flows, table, with_flows
 
@@ -89,6 +90,24 @@ def demo_mix(spark, sf):
     return sampling.demo_mix(rows, 201).withColumnsRenamed({"Scenario": "scenario", "RowID": "row_id", "BinaryLabel": "binary_label"})
 
 
+@query("demo_set", with_flows(f""",
+mix AS (SELECT scenario, a, b, least(a, greatest(30, 61 - b)) AS want_a FROM (
+  SELECT "Scenario" AS scenario, count(*) FILTER ("BinaryLabel" = 1) AS a, count(*) FILTER ("BinaryLabel" = 0) AS b FROM flows GROUP BY 1))
+SELECT row_number() OVER (ORDER BY md5('{sampling.SEED + 1}|' || f."Scenario" || '|' || CAST(f."RowID" AS VARCHAR)), f."Scenario", f."RowID") AS position,
+  f."Scenario" AS scenario, f."RowID" AS row_id, f."BinaryLabel" AS binary_label, f."DestinationPort" AS port, f."DestinationPort" + 1 AS context_port,
+  f."SourceIP" AS source_ip FROM (
+  SELECT *, {rank_sql('"Scenario", "BinaryLabel"')} AS k FROM flows) f JOIN mix ON mix.scenario = f."Scenario"
+WHERE k <= CASE WHEN f."BinaryLabel" = 1 THEN want_a ELSE least(b, 61 - want_a) END"""))
+def demo_set(spark, sf):
+    f = flows(spark, sf)
+    context = f.select("Scenario", "RowID", "SourceIP", (F.col("DestinationPort") + 1).alias("DestinationPort"))
+    found = demo.demo_set(f.select("Scenario", "RowID", "BinaryLabel", "DestinationPort"), context, 61)
+    return found.select(
+        F.col("DemoPosition").alias("position"), F.col("Scenario").alias("scenario"), F.col("RowID").alias("row_id"),
+        F.col("BinaryLabel").alias("binary_label"), F.col("DestinationPort").alias("port"),
+        F.col("Context DestinationPort").alias("context_port"), F.col("SourceIP").alias("source_ip"))
+
+
 GROUPED_SQL = """,
 per_stratum AS (SELECT "GroupID" AS g, "Stratum" AS s, count(*) AS n FROM flows GROUP BY 1, 2),
 groups AS (SELECT g, CAST(sum(n) AS BIGINT) AS n, max_by(s, lpad(CAST(n AS VARCHAR), 12, '0') || s) AS s FROM per_stratum GROUP BY 1),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.operators import sampling
-from flowspark.plans import catalog_sampling
+from flowspark.plans import catalog_sampling, demo
 
 
 def flows(spark, n=3000):
@@ -109,6 +109,25 @@ def test_overlap_raises(spark):
         sampling.require_isolation(rows)
 
 
+def test_demo_set_has_context_and_one_order(spark, tmp_path):
+    rows = spark.range(900).select((F.col("id") % 3).cast("string").alias("Scenario"), F.col("id").alias("RowID"),
+                                   (F.col("id") % 4 == 0).cast("int").alias("BinaryLabel"), F.lit(80).alias("Port"))
+    context = rows.select("Scenario", "RowID", F.lit(443).alias("Port"), F.concat(F.lit("h"), F.col("RowID").cast("string")).alias("Host"))
+    got = demo.demo_set(rows, context, 40).collect()
+    assert len(got) == 120 and sorted(r["DemoPosition"] for r in got) == list(range(1, 121))
+    assert all(r["Context Port"] == 443 and r["Port"] == 80 and r["Host"] == f"h{r['RowID']}" for r in got)
+    again = {r["RowID"]: r["DemoPosition"] for r in demo.demo_set(rows.repartition(5), context, 40).collect()}
+    assert again == {r["RowID"]: r["DemoPosition"] for r in got}
+    by_place = [r["Scenario"] for r in sorted(got, key=lambda r: r["DemoPosition"])]
+    assert len({tuple(by_place[k: k + 3]) for k in range(0, 120, 3)}) > 5
+    with pytest.raises(ValueError, match="align"):
+        demo.demo_set(rows, context.where("RowID % 2 = 0"), 40)
+    with pytest.raises(ValueError, match="at least"):
+        demo.demo_set(rows, context, 10)
+    demo.write_demo(rows, context, str(tmp_path / "demo"), 40)
+    assert spark.read.option("header", True).csv(str(tmp_path / "demo")).count() == 120
+
+
 def test_split_with_all_classes(spark, monkeypatch):
     rows = grouped(spark).withColumn("OperationalFamily", F.when(F.col("RowID") % 300 < 12, "rare").otherwise("common"))
     rows = rows.where("GroupID <> 'hot'")
