@@ -6,6 +6,8 @@ a task's memory follows the longest text, not the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from flowspark.llm.textops import release_tables
+
 SLICE_BYTES = 2 << 20
 
 
@@ -43,6 +47,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+def release_memory() -> None:
+    """Give back what a finished task leaves in its worker, which serves later tasks and other stages."""
+    release_tables()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_columns(df: DataFrame, fields: StructType, compute: Callable[[pa.RecordBatch], list[pa.Array]],
                  column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Add columns that `compute` derives from a slice of rows; columns of the same name are replaced."""
@@ -51,9 +63,14 @@ def with_columns(df: DataFrame, fields: StructType, compute: Callable[[pa.Record
     schema = StructType(kept.schema.fields + fields.fields)
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, column, limit):
-                yield pa.RecordBatch.from_arrays([*part.columns, *compute(part)], names=schema.names)
+        batch = part = None
+        try:
+            for batch in batches:
+                for part in slices(batch, column, limit):
+                    yield pa.RecordBatch.from_arrays([*part.columns, *compute(part)], names=schema.names)
+        finally:
+            del batch, part
+            release_memory()
 
     return kept.mapInArrow(run, schema)
 

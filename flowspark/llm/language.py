@@ -24,6 +24,7 @@ LANDMARKS = 400
 FIT_DOCS = 300
 FIT_SEGMENTS = 2
 RIDGE = 1.0
+SCORED_SEGMENTS = 256
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
 LETTERS = np.zeros(256, bool)
@@ -47,7 +48,7 @@ def segments(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def presence(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Row s marks the hashed n-grams that begin in segment s; `ends` bounds their bytes."""
     held = np.zeros((len(starts) - 1, 1 << BITS), bool)
-    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    rows = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
     first, limit = starts[0], np.repeat(ends, np.diff(starts))
     codes = data[first:].astype(np.uint32) + np.uint32(1)
     hashes = codes[: len(rows)].copy()
@@ -79,10 +80,10 @@ class Model:
         data, starts, rows = segments(column)
         text_ends = starts[1:][np.r_[rows[1:] != rows[:-1], True]][rows] if len(rows) else rows
         total = np.zeros((len(column), len(self.names)))
-        for a in range(0, len(rows), 2048):
-            b = min(a + 2048, len(rows))
-            stop = text_ends[b - 1]
-            x = unit_rows(presence(data[:stop], starts[a: b + 1], text_ends[a:b]))
+        for a in range(0, len(rows), SCORED_SEGMENTS):
+            b = min(a + SCORED_SEGMENTS, len(rows))
+            begin, stop = starts[a], min(text_ends[b - 1], starts[b] + max(ORDERS))  # n-grams may reach into what follows
+            x = unit_rows(presence(data[begin:stop], starts[a: b + 1] - begin, np.minimum(text_ends[a:b], stop) - begin))
             np.add.at(total, rows[a:b], x @ self.weights)
         return total / np.maximum(1, np.bincount(rows, minlength=len(column)))[:, None]
 

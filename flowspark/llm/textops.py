@@ -38,6 +38,12 @@ def power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def release_tables() -> None:
+    """Forget the tables of powers, which follow the longest slice; a later task builds its own."""
+    for tables in (_powers, _prime_powers):
+        tables[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread every input bit over all 64 (the finalizer of a public hash)."""
     h = h ^ (h >> np.uint64(33))
