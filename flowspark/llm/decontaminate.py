@@ -2,19 +2,24 @@
 
 Test items are cut into windows of 13 words (an item of fewer words is one window). Their hashes go to the executors in
 blocks of bounded size, one pass over the corpus per block; each pass hashes all windows of a slice of documents at
-once, looks them up, and confirms every hit on its words. Nothing is shuffled.
+once, looks them up, and confirms every hit on its words. With one block nothing is shuffled. With several, a block's
+hits are stored and the block is released before the next one is collected; the last pass adds the stored hits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowspark.llm.common import text_of, utf8, with_columns
+from flowspark.llm.common import row_key, text_of, utf8, with_columns
 from flowspark.llm.textops import ALPHANUMERIC, LOWER, covered, span_hashes, spans_where, window_hashes
+from flowspark.session import lookup_join, materialize
 
 WINDOW = 13
 BLOCK_WINDOWS = 100_000
@@ -56,10 +61,8 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
         F.sort_array(F.collect_set("item_id")).alias("ids"))
 
 
-def scan(docs: DataFrame, block: list, size: int, first: bool) -> DataFrame:
-    """Add the hits of one block of windows to the columns of HIT_FIELDS."""
-    shared = docs.sparkSession.sparkContext.broadcast({bytes(row["window"]): row["ids"] for row in block})
-
+def scan(docs: DataFrame, shared: Broadcast, first: bool) -> DataFrame:
+    """Add HIT_FIELDS by one broadcast block of windows; unless it is the first, with the hits in _spans and _items."""
     def prepare():
         windows = shared.value
         by_length: dict[int, list[np.uint64]] = {}
@@ -97,8 +100,8 @@ def scan(docs: DataFrame, block: list, size: int, first: bool) -> DataFrame:
         if not first:
             earlier, bounds = batch.column(batch.schema.get_field_index("_spans")).to_pylist(), np.searchsorted(rows, np.arange(n))
             for k, (spans, items) in enumerate(zip(earlier, batch.column(batch.schema.get_field_index("_items")).to_pylist())):
-                ids[k].update(items)
-                for a, b in spans:
+                ids[k].update(items or ())
+                for a, b in spans or ():
                     firsts.append(bounds[k] + a)
                     lengths.append(b - a)
         hit = covered(np.array(firsts, np.int64), np.array(lengths, np.int64), len(starts))
@@ -111,10 +114,7 @@ def scan(docs: DataFrame, block: list, size: int, first: bool) -> DataFrame:
         return [pa.array(np.diff(bounds)), pa.array(counts), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                 pa.array([sorted(x) for x in ids], pa.list_(pa.string()))]
 
-    if first:
-        return with_columns(docs, HIT_FIELDS, compute)
-    earlier = docs.withColumnsRenamed({"hit_spans": "_spans", "items": "_items"})
-    return with_columns(earlier, HIT_FIELDS, compute).drop("_spans", "_items")
+    return with_columns(docs, HIT_FIELDS, compute)
 
 
 def find_overlap(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -124,17 +124,32 @@ def find_overlap(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_wi
     Needs text in `docs`, item_id and text in `items`; all rows and other columns of `docs` are kept, columns of the
     four names replaced. A null or wordless text has no words and no hits; a null or wordless item has no window; a
     null item_id shows as ''. Repeated rows and items give equal results. Without items nothing is hit. Test windows
-    are sent to the executors `block_windows` at a time, each block in a pass of its own, so any number is exact.
+    are sent to the executors about `block_windows` at a time, each block in a pass of its own, so any number is exact.
     """
     windows = item_windows(items, size).persist()
     try:
         blocks = max(1, -(-windows.count() // block_windows))
         part = F.pmod(F.xxhash64("window"), F.lit(blocks))
-        for k in range(blocks):
-            docs = scan(docs, windows.where(part == k).collect(), size, k == 0)
+
+        def send(k: int) -> Broadcast:
+            rows = windows.where(part == k).collect()
+            return docs.sparkSession.sparkContext.broadcast({bytes(row["window"]): row["ids"] for row in rows})
+
+        if blocks == 1:
+            return scan(docs, send(0), True)
+        # equal texts have equal hits, so the text names them
+        keyed, stored = docs.withColumn("_hit_key", row_key("text")), []
+        for k in range(1, blocks):
+            shared = send(k)
+            hits = scan(keyed.select("_hit_key", "text"), shared, True).where("n_hit > 0")
+            stored.append(materialize(hits.groupBy("_hit_key").agg(F.first("hit_spans").alias("_spans"), F.first("items").alias("_items")), "hits"))
+            shared.destroy()
+        merged = reduce(DataFrame.union, stored).groupBy("_hit_key").agg(
+            F.flatten(F.collect_list("_spans")).alias("_spans"), F.flatten(F.collect_list("_items")).alias("_items"))
+        found = scan(lookup_join(keyed, merged, ["_hit_key"], "left"), send(0), False)
+        return found.drop("_hit_key", "_spans", "_items")
     finally:
         windows.unpersist()
-    return docs
 
 
 def is_contaminated() -> Column:
