@@ -4,6 +4,8 @@ import public_tokenizers
 import pytest
 from llm_brute import EDGES, bpe_ids, crc, frame, overlap, save, sha
 
+from pyspark.sql import functions as F
+
 from flowspark.llm import bpe, catalog, decontaminate, sharding
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -90,6 +92,24 @@ def test_shards_have_equal_counts(spark, tmp_path):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_shards_are_runs_of_the_curve(spark):
+    rows = [(k, "x" * (k % 900), ["en", "de", None][k % 3], f"s{k % 11}") for k in range(1500)] + [(7, "same", "en", "hot")] * 600 + EDGES
+    clash = frame(spark, rows).selectExpr("*", "1 AS shard", "2 AS slot", "3 AS salt", "4 AS rank", "5 AS size")
+    got = sharding.assign_shards(clash, 40).collect()
+    assert len(got) == len(rows)
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    curve = [r.curve for r in order]
+    assert curve == sorted(curve) and len(set(curve)) > 50  # rows lie along the curve, so each shard is a run of it
+    where = {}
+    for r in got:
+        where.setdefault(r.curve, set()).add(r.shard)
+    assert all(max(s) - min(s) + 1 == len(s) for s in where.values())
+    cells = frame(spark, rows)
+    index = {(r.c[0], r.c[1], r.c[2], r.c[3]): r.h for r in cells.select(
+        F.array(*sharding.grid(cells, 3)).alias("c"), sharding.hilbert_index(sharding.grid(cells, 3), 3).alias("h")).distinct().collect()}
+    assert set(index.values()) == set(curve) and len(set(index.values())) == len(index)
+
+
 def test_few_or_no_rows_to_shard(spark):
     assert sharding.assign_shards(frame(spark, EDGES).limit(0)).collect() == []
     assert len({r.shard for r in sharding.assign_shards(frame(spark, EDGES[:3])).collect()}) == 3
