@@ -10,7 +10,7 @@ from flowspark.plans.catalog_models import feature_flows, saved_bundle
 from flowspark.plans.catalog_soc import LEDGER_SQL, ledger, sensor_alerts
 from flowspark.plans.registry import query
 from flowspark.plans.workload import flows, table, with_flows
-from flowspark.schema import EXTRACTOR_COLUMNS, EXTRACTOR_CONTEXT, FEATURES, TIME_FEATURES
+from flowspark.schema import EXTRACTOR_COLUMNS, EXTRACTOR_CONTEXT, FEATURES, OPERATIONAL_FAMILIES, TIME_FEATURES
 from flowspark.session import scratch_path
 from flowspark.sources import lookups, tables
 from flowspark.techniques import default_techniques
@@ -141,3 +141,26 @@ def batch_scoring(spark, sf):
     return rows.select(
         F.col("RowID").cast("long").alias("row_id"), ((F.col("BinaryPrediction") == "ATTACK") == known).alias("decided_by_threshold"),
         (F.col("AlertSeverity") == scoring.severity(known, odd)).alias("severity_follows"))
+
+
+@query("batch_ledger", with_flows("""
+SELECT "RowID" AS row_id, "Scenario" AS scenario, "Label" AS label, "BinaryLabel" AS binary_label, true AS correct_follows,
+  true AS family_follows, true AS margin_follows, true AS technique_follows FROM flows"""))
+def batch_ledger(spark, sf):
+    """The ledger that batch scoring wrote: its context columns, and what follows from its scores and labels recomputed."""
+    path = scratch_path(spark, "batch")
+    feature_flows(spark, sf).write.option("header", True).csv(f"{path}/in")
+    score.score_files(spark, [f"{path}/in/*.csv"], f"{path}/out", saved_bundle(spark, sf))
+    rows = spark.read.option("header", True).csv(f"{path}/out")
+    attack = F.col("KnownAttackProbability").cast("double") >= F.col("BinaryDecisionThreshold").cast("double")
+    score_, threshold = F.col("AnomalyScore").cast("double"), F.col("AnomalyThreshold").cast("double")
+    family = F.col("PredictedAttackFamily")
+    runs = F.when(attack, family.isin(OPERATIONAL_FAMILIES) & F.col("FamilyConfidence").cast("double").between(0.2, 1.0001)).otherwise(
+        (family == "Not run") & F.col("FamilyConfidence").isNull())
+    quiet = ~attack & (score_ < threshold)
+    return rows.select(
+        F.col("RowID").cast("long").alias("row_id"), F.col("Scenario").alias("scenario"), F.col("Label").alias("label"),
+        F.col("BinaryLabel").cast("int").alias("binary_label"),
+        ((F.col("BinaryCorrect") == "true") == (F.col("BinaryLabel").cast("int") == attack.cast("int"))).alias("correct_follows"),
+        runs.alias("family_follows"), (F.abs(F.col("AnomalyMargin").cast("double") - (score_ - threshold)) < 1e-9).alias("margin_follows"),
+        (quiet == F.coalesce(F.col("MITRETactic") == "", F.lit(True))).alias("technique_follows"))

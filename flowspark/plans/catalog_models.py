@@ -95,6 +95,23 @@ def scenario_holdout(spark, sf):
     return evaluate.evaluate_holdout(feature_flows(spark, sf), FEATURES, BOOSTING)["metrics"]
 
 
+@query("holdout_rows", with_flows("""
+SELECT "Scenario" AS scenario, (SELECT count(*) FROM flows) - count(*) AS training_rows, count(*) AS test_rows,
+  count(*) FILTER ("BinaryLabel" = 0) AS actual_benign, count(*) FILTER ("BinaryLabel" = 1) AS actual_attack, true AS cells_add_up,
+  true AS timed FROM flows GROUP BY 1
+UNION ALL
+SELECT 'ALL_SCENARIOS_AGGREGATED', NULL, count(*), count(*) FILTER ("BinaryLabel" = 0), count(*) FILTER ("BinaryLabel" = 1), true, true FROM flows"""))
+def holdout_rows(spark, sf):
+    """What of a holdout does not depend on the fit: each fold's rows, and that its cells and errors add up to them. The pool
+    takes in all flows."""
+    table_ = evaluate.evaluate_holdout(feature_flows(spark, sf), FEATURES, BOOSTING, pool_size=1 << 40)["metrics"]
+    cells = F.col("true_negative") + F.col("false_positive") + F.col("false_negative") + F.col("true_positive")
+    return table_.select(
+        F.col("Scenario").alias("scenario"), "training_rows", "test_rows", "actual_benign", "actual_attack",
+        ((cells == F.col("test_rows")) & (F.col("errors") == F.col("false_positive") + F.col("false_negative"))).alias("cells_add_up"),
+        ((F.col("fit_seconds") > 0) & (F.col("prediction_seconds") > 0) & (F.col("prediction_throughput_flows_per_second") > 0)).alias("timed"))
+
+
 @query("anomaly_holdout")
 def anomaly_holdout(spark, sf):
     _, tables = evaluate.evaluate_anomaly(feature_flows(spark, sf), FEATURES)
