@@ -44,3 +44,12 @@ def test_fitted_trees_stay_in_the_shared_folder(spark):
         assert sorted([0, *left[inner], *left[inner] + 1]) == list(range(len(part)))
     found = fitted.score(df).select("AnomalyScore").count()
     assert found == 400 and "trees" not in vars(fitted)
+
+
+def test_forest_is_broadcast_once_for_calibration_and_scoring(spark):
+    df = spark.createDataFrame([(k, float(k % 17)) for k in range(300)], "id long, a double")
+    fitted = iforest.fit_isolation_forest(df, ["a"], ["id"], trees=4, max_samples=64)
+    iforest.calibrate(fitted, df, 0.05)
+    shared = fitted.shared
+    fitted.score(df)
+    assert shared is not None and fitted.shared is shared
