@@ -168,8 +168,8 @@ def rolling_source_counts(flows: DataFrame, rule: ScanRule = ScanRule()) -> Data
          _spans(ports, ["DestinationPort"], rule, "WindowUniqueDestinationPorts")],
     )
     # stored, because cutting it into ranges reads it twice
-    running = running_totals(materialize(events, "events"), KEY, ["_at", "_phase", "_pos", "_own"], COUNTS)
-    return running.where(F.col("_own") == 1).select(*KEY, "_row.*", *[F.col(f"cum_{c}").alias(c) for c in COUNTS])
+    running = running_totals(materialize(events, "events"), KEY, ["_at", "_phase", "_pos", "_own"], COUNTS, keep="_own")
+    return running.select(*KEY, "_row.*", *[F.col(f"cum_{c}").alias(c) for c in COUNTS])
 
 
 def _crosses(rule: ScanRule) -> Column:
