@@ -21,7 +21,7 @@ from flowspark.functions.numeric import finite, ratio
 from flowspark.functions.times import iso_text, parse_mixed_timestamp
 from flowspark.operators.prefix import running_totals
 from flowspark.schema import q, resolve_alias
-from flowspark.session import materialize
+from flowspark.session import materialize, null_safe
 
 KEY = ["InputFile", "SourceIP"]
 COUNTS = ["WindowFlowCount", "WindowUniqueDestinationPorts", "WindowUniqueDestinationEndpoints",
@@ -181,26 +181,23 @@ def _crosses(rule: ScanRule) -> Column:
 def source_states(rolled: DataFrame, rule: ScanRule = ScanRule()) -> DataFrame:
     """Everything the reports need about a source, including its first alerting flow, if any.
 
-    Flows collapse per endpoint and then per port, so no task holds a source's endpoints.
+    Flows stand sorted by source, so a task passes on a row a source; endpoints and ports are counted apart, collapsed per
+    endpoint and then per port, so no task holds a source's endpoints.
     """
     flow = F.struct("Timestamp", "RowID", "DestinationIP", "DestinationPort", "Scenario", "GroundTruth", *COUNTS)
-    per_endpoint = rolled.groupBy(*KEY, "DestinationIP", "DestinationPort").agg(
+    totals = rolled.groupBy(*KEY).agg(
         F.min(F.struct("Timestamp", "RowID", "Scenario", "GroundTruth")).alias("_head"),
         F.min(F.when(_crosses(rule), flow)).alias("_alert"),
         F.max("Timestamp").alias("_last"), F.count("*").alias("_rows"),
         F.count_if(F.col("SYNCount") > 0).alias("_syn"), F.count_if(F.col("RSTCount") > 0).alias("_rst"),
         F.count_if(F.col("BackwardPackets") <= 0).alias("_silent"), *[F.max(c).alias(c) for c in COUNTS],
     )
-    carried = [F.min("_head").alias("_head"), F.min("_alert").alias("_alert"), F.max("_last").alias("_last")]
-    per_port = per_endpoint.groupBy(*KEY, "DestinationPort").agg(
-        *carried, F.count("*").alias("_endpoints"),
-        *[F.sum(c).alias(c) for c in ("_rows", "_syn", "_rst", "_silent")], *[F.max(c).alias(c) for c in COUNTS],
-    )
-    return per_port.groupBy(*KEY).agg(
-        *carried, F.count("*").alias("_ports"),
-        *[F.sum(c).alias(c) for c in ("_rows", "_endpoints", "_syn", "_rst", "_silent")],
-        *[F.max(c).alias(c) for c in COUNTS],
+    per_port = (
+        rolled.groupBy(*KEY, "DestinationIP", "DestinationPort").agg(F.lit(1).alias("_one"))
+        .groupBy(*KEY, "DestinationPort").agg(F.count("*").alias("_endpoints"))
     )
+    used = per_port.groupBy(*KEY).agg(F.count("*").alias("_ports"), F.sum("_endpoints").alias("_endpoints"))
+    return null_safe(totals, used, KEY)
 
 
 def first_alerts(states: DataFrame, rule: ScanRule = ScanRule()) -> DataFrame:
