@@ -3,7 +3,7 @@
 Each flow enters its source's window at its own time and leaves it just after ``time + W``. The
 state of the window at a flow is therefore a running sum of entries and exits.
 
-Exits are summed per instant, and an endpoint or port enters and leaves once per stretch of use,
+Exits of one instant are told apart by RowID, so a cut may divide them, and an endpoint or port enters and leaves once per stretch of use,
 found from its first and last use in each slice of time. The sums run along (time, phase, RowID)
 in ranges cut by sampled ranks (see ``prefix``), so a source may own a third of all flows, or all
 flows of one instant, and still spread over as many tasks as its share of rows asks for.
@@ -149,9 +149,9 @@ def rolling_source_counts(flows: DataFrame, rule: ScanRule = ScanRule()) -> Data
         *KEY, "_at", F.lit(ENTERING).alias("_phase"), F.col("RowID").alias("_pos"), F.lit(1).alias("_own"),
         *_deltas(**flags), F.struct(*payload).alias("_row"),
     )
-    exits = base.groupBy(*KEY, "_at").agg(*[F.sum(v).alias(k) for k, v in flags.items()]).select(
-        *KEY, (F.col("_at") + window).alias("_at"), F.lit(LEAVING).alias("_phase"),
-        F.lit(0).cast("long").alias("_pos"), F.lit(0).alias("_own"), *_deltas(**{k: -F.col(k) for k in flags}),
+    exits = base.select(
+        *KEY, (F.col("_at") + window).alias("_at"), F.lit(LEAVING).alias("_phase"), F.col("RowID").alias("_pos"),
+        F.lit(0).alias("_own"), *_deltas(**{k: -v for k, v in flags.items()}),
     )
     first, last = F.min(F.struct("_at", "RowID")), F.max("_at")
     endpoints = (
