@@ -151,6 +151,16 @@ def test_split_with_all_classes(spark, monkeypatch):
     assert other == seed and again.exceptAll(split.select(*again.columns)).isEmpty()
 
 
+def test_split_lays_out_one_seed_if_the_first_covers(spark, monkeypatch):
+    rows = spark.range(2000).select((F.col("id") % 500).alias("GroupID"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("OperationalFamily"))
+    monkeypatch.setattr(sampling, "covering_seed", lambda *others: pytest.fail("several seeds laid out"))
+    split, seed = sampling.grouped_split_all_classes(rows)
+    assert seed == 42 and split.count() == rows.count()
+    assert split.select("split", "OperationalFamily").distinct().count() == 6
+    with pytest.raises(RuntimeError):
+        sampling.grouped_split_all_classes(rows, max_attempts=0)
+
+
 def test_coverage(spark):
     rows = spark.createDataFrame([("train", "a", "f", 0, 3), ("test", "a", "f", 0, 1), ("test", "b", "f", 1, 2)],
                                  "split string, Label string, AttackFamily string, BinaryLabel int, rows long")
