@@ -231,8 +231,8 @@ def repeated_strings(contexts: list[bytes], weights: np.ndarray, size: int, shar
 
 
 def runs_array(masks: list[np.ndarray]) -> pa.ListArray:
-    """Runs of True in each mask, as lists of (first, count)."""
-    bounds = np.r_[0, np.cumsum([len(m) for m in masks])]
+    """Runs of True in each mask, as lists of (first, count); of whole numbers even where there is no mask."""
+    bounds = np.r_[0, np.cumsum([len(m) for m in masks], dtype=np.int64)]
     starts, ends, rows = spans_where(np.concatenate(masks) if masks else np.zeros(0, bool), bounds)
     values = pa.StructArray.from_arrays([pa.array(starts - bounds[rows]), pa.array(ends - starts)], names=["first", "count"])
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(masks) + 1)).astype(np.int32)), values)

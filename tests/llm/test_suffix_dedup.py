@@ -92,3 +92,14 @@ def test_no_rows_and_clashing_columns(spark):
     assert len(rows) == len(EDGES) and {(r["at"], r.row_key, r.anchor) for r in rows} == {(1, 2, 3)}
     with pytest.raises(ValueError):
         suffix_dedup.remove_repeats(docs, 100)
+
+
+def test_part_of_a_task_without_a_repeated_string(spark, tmp_path, monkeypatch):
+    """Where a task is solved in parts, one whose anchors repeat but none of their strings does must not change the type of runs."""
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", 1)
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    short, long = noise(150), noise(400)
+    rows = [(k, noise(400) + short + noise(400) + long + noise(300)) for k in range(4)]
+    folder = save(spark, tmp_path / "t", rows)
+    assert sorted(tuple(r) for r in catalog.op4_suffix_dedup(spark, folder).collect()) == wanted(rows)
