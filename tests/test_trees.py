@@ -167,3 +167,25 @@ def test_scoring_a_column_skips_nulls_and_saves(spark, tmp_path):
         for r in rows:
             assert (r.p is None) == (r.target == 0)
             assert r.p is None or r.p == pytest.approx(model.probabilities(np.array([[r[n] for n in names]]))[0].tolist())
+
+
+def test_boosting_fits_on_all_rows(spark):
+    """Rows beyond any pool: equal ones count as often as they occur, in the start values, the histograms and the row bound."""
+    n = 450_000
+    df = spark.range(n).selectExpr("cast(id % 50 AS double) AS x0", "cast(id % 7 = 0 AS int) AS target", "1.0D AS weight", "id % 10 = 0 AS held")
+    model = boosting.fit_boosting(df, ["x0"], "target", "weight", "held", 2, boosting.Boosting(iterations=2))
+    ids = np.arange(n)
+    ids = ids[ids % 10 != 0]
+    assert model.start[0] == pytest.approx(np.log((ids % 7 == 0).sum() / (ids % 7 != 0).sum()), abs=1e-12)
+    x, y = points(8, 300)
+    few, names = table(spark, x, y)
+    many = few.unionByName(few).unionByName(few)
+    s = boosting.Boosting(iterations=3)
+    wanted = boosting.fit_boosting(many, names, "target", "weight", "held", 3, s)
+    thrice = few.withColumn("weight", F.col("weight") * 3)
+    assert wanted.probabilities(x) == pytest.approx(boosting.fit_boosting(
+        thrice, names, "target", "weight", "held", 3, replace(s, min_rows=7)).probabilities(x))  # 20 of three rows each need seven
+    # two tasks may settle cuts of equal gain differently, which part the same training rows
+    fitted, one = np.arange(300) % 10 != 0, replace(s, iterations=1)
+    parts = [boosting.fit_boosting(many, names, "target", "weight", "held", 3, one, tasks=k).probabilities(x)[fitted] for k in (1, 2)]
+    assert parts[0] == pytest.approx(parts[1])
